@@ -51,3 +51,13 @@ def partitions(spark: SparkSession) -> int:
 def body(col: str | Column) -> Column:
     """Text with null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
+
+
+def sample_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashed identifiers; for training only.
+
+    Identifiers are chosen first, so that no task hands texts to the driver that the
+    sample will not hold.
+    """
+    chosen = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
+    return df.join(F.broadcast(chosen), id_col, "left_semi").limit(n)

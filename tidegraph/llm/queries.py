@@ -13,6 +13,7 @@ from tidegraph.llm.packing import pack
 from tidegraph.llm.secrets import BASE_RULES, RULES, joined, scan
 from tidegraph.llm.simhash import near_groups
 from tidegraph.llm.token_files import read_tokens, write_tokens
+from tidegraph.llm.warc import read_warc, write_warc
 
 
 def vocabulary(name: str) -> str:
@@ -82,12 +83,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
@@ -100,4 +108,13 @@ SQL: dict[str, str] = {
         FROM documents
     """,
     "op5_secret_scan": _secret_sql(),
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+        FROM q
+    """,
 }

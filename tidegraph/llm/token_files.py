@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import files
-from tidegraph.llm.common import NULL_ID, body, partitions
+from tidegraph.llm.common import NULL_ID, body, partitions, sample_rows
 from tidegraph.llm.token_cache import encoder
 
 MAGIC, END = b"TGIDS001", b"TGIDXEND"
@@ -41,10 +41,10 @@ def _pack(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
 
 
-def train_dictionary(samples: list[bytes]) -> bytes:
-    """Zstandard dictionary over serialized id arrays; empty where there is too little to learn."""
+def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """Zstandard dictionary over the samples; empty where there is too little to learn."""
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return b""
 
@@ -118,7 +118,7 @@ def write_tokens(
     spark = docs.sparkSession
     files.make_dir(folder)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), body(text_col).alias("body"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.substring("body", 1, 4 * SAMPLE_IDS).alias("body"))
+    sample = sample_rows(rows, "doc_id", SAMPLE_DOCS).select(F.substring("body", 1, 4 * SAMPLE_IDS).alias("body"))
     encode = encoder(vocabulary)
     end = struct.pack("<I", end_id)
     width = 2 if encode.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else 4
