@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import scratch, table
 from tidegraph.llm.exact_dedup import exact_dedup
+from tidegraph.llm.language_id import identify
 from tidegraph.llm.packing import pack
 from tidegraph.llm.secrets import BASE_RULES, RULES, joined, scan
 from tidegraph.llm.simhash import near_groups
@@ -30,6 +31,12 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = identify(table(spark, sf_dir, "documents"), learn_from=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents")).select("doc_id", "secret_spans")
     of = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
@@ -92,6 +99,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
