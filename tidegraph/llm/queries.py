@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import scratch, table
 from tidegraph.llm.exact_dedup import exact_dedup
 from tidegraph.llm.language_id import identify
+from tidegraph.llm.near_vectors import near_vectors
 from tidegraph.llm.packing import pack
 from tidegraph.llm.secrets import BASE_RULES, RULES, joined, scan
 from tidegraph.llm.simhash import near_groups
@@ -79,6 +80,10 @@ def _secret_sql() -> str:
     """
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), folder, vocabulary("byte_bpe_50k.json"))
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
+    "op6_near_vectors": op6_near_vectors,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
     "op10_warc": op10_warc,
