@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import scratch, table
 from tidegraph.llm.exact_dedup import exact_dedup
+from tidegraph.llm.html_text import extract
 from tidegraph.llm.language_id import identify
 from tidegraph.llm.near_vectors import near_vectors
 from tidegraph.llm.packing import pack
@@ -95,6 +96,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_vectors": op6_near_vectors,
     "op7_token_files": op7_token_files,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
     "op10_warc": op10_warc,
 }
 
