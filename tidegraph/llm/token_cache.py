@@ -1,49 +1,55 @@
 """Token ids from the ``tokenizers`` library, remembered by text unit.
 
-The library's pre-tokenizers never look across certain spaces, so a text may be
-cut there and each distinct unit encoded once per worker.  Ids are kept as bytes of
-little-endian unsigned 32-bit integers, which makes a document one ``join``.
+The pre-tokenizers never look across certain spaces, so a text may be cut there and
+each distinct unit encoded once per worker; a unit's words are remembered as well,
+because most new units only join known words and marks anew.  Ids are kept as bytes
+of little-endian unsigned 32-bit integers, which makes a document one ``join``.
+
+Words are merged by the library's own model; texts that hold characters for which
+Unicode tables may differ, or strings of added tokens, go through the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
+import regex
 
-#: Units remembered by a worker (about 150 bytes each) before it starts afresh.
-CACHE_UNITS = 600_000
+#: Entries of a cache generation; two generations are held, about 200 bytes an entry.
+CACHE_UNITS = 400_000
+#: Marks that end a word without changing how it is split.
+MARKS = ".,!?;:"
+#: Characters below this one are told apart alike by all Unicode versions in use, and are NFC.
+PLAIN_BELOW = "ɐ"
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" \s| $")
-_WORD_MARKS = re.compile(r"( ?[A-Za-z]+)([.,!?;:]+)")
 
 
-class _Units(dict):
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
+class _Kept(dict):
+    """Computed values by key; what the last generation did not use is forgotten."""
 
-    def raw(self, unit: str) -> bytes:
-        return np.asarray(self.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.old = compute, {}
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
+        if (found := self.old.get(key)) is None:
+            found = self.compute(key)
         if len(self) >= CACHE_UNITS:
+            self.old = dict(self)
             self.clear()
-        # letters and the marks after them are separate pre-tokens in either vocabulary
-        if m := _WORD_MARKS.fullmatch(unit):
-            found = self[m[1]] + self.marks(m[2])
-        else:
-            found = self.raw(self.prefix + unit)
-        self[unit] = found
+        self[key] = found
         return found
 
-    @lru_cache(4096)
-    def marks(self, text: str) -> bytes:
-        return self.raw(text)
 
-    __hash__ = object.__hash__
+def byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: visible Latin-1 characters stand for themselves, other bytes for 256 and on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(others)}
 
 
 class Encoder:
@@ -51,17 +57,54 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = '"invert":true' in self.tokenizer.to_str()
-        self.first = _Units(self.tokenizer.encode, "")
-        self.rest = _Units(self.tokenizer.encode, " ")
+        self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [told["pre_tokenizer"]])
+        self.added = [a["content"] for a in told["added_tokens"]]
+        self.lower = told["normalizer"] is not None
+        self.drops_space = bool(steps[0].get("invert"))
+        if self.drops_space:
+            pattern = steps[0]["pattern"]["Regex"]
+        else:  # the byte-level pre-tokenizer's own pattern (fixed value)
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.words = regex.compile(pattern).findall
+        plain = pattern.replace("[\\p{L}]", "[A-Za-z]").replace("[\\p{N}]", "[0-9]").replace(" ?\\p{L}", " ?[A-Za-z]").replace(" ?\\p{N}", " ?[0-9]")
+        self.ascii_words = re.compile(plain.replace("\\p{L}", "A-Za-z").replace("\\p{N}", "0-9"), re.ASCII).findall
+        self.letters = byte_letters()
+        self.word = _Kept(self._word)
+        self.first = _Kept(lambda unit: self._unit(unit, "", self.first))
+        self.rest = _Kept(lambda unit: self._unit(unit, " ", self.rest))
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        seen = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
+    def _unit(self, unit: str, before: str, known: _Kept) -> bytes:
+        """Ids of ``before + unit``; ``known`` has those of other units."""
+        if not unit.isascii() and max(unit) >= PLAIN_BELOW:
+            return self.whole(before + unit)
+        if self.lower and (low := unit.lower()) != unit:
+            return known[low]
+        if unit.isalpha():
+            return self._word(before + unit)
+        if (stem := unit.rstrip(MARKS)).isalpha():
+            return known[stem] + self.word[unit[len(stem) :]]
+        return b"".join(map(self.word.__getitem__, (self.ascii_words if unit.isascii() else self.words)(before + unit)))
 
     def __call__(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return self.whole(text)
         if self.drops_space:  # white space separates words and leaves no ids
             return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
-        # a space before a visible character starts a pre-token whatever stands before it
+        # a space before a visible character starts a word whatever stands before it
         head, *rest = _SPACE.split(text) if _ODD.search(text) else text.split(" ")
         return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
 
