@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,6 +211,27 @@ def training_sample(docs: DataFrame, learn_from: Column, id_col: str, text_col:
     return [(r.lang, r.body) for r in sorted(found, key=lambda r: (r.draw, r.body))]
 
 
+def keep_accepted(docs: DataFrame, identifier: Identifier, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text some learnt language explains, with all their columns.
+
+    Null text, text without a letter and text far from every language go; nothing is
+    shuffled.  Where nothing could be learnt there is no ground to reject, and all
+    rows stay.
+    """
+    if not identifier.languages:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                found = shared.value.identify(part.column(text_col).to_pylist())
+                yield part.filter(pa.array(found["accepted"].to_numpy(bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(
     docs: DataFrame,
     learn_from: Column | None = None,

@@ -236,7 +236,7 @@ def near_groups(
     docs: DataFrame,
     words: int = 5,
     width: int = 4,
-    most: int = 44,
+    most: int = 45,
     blocks: int = 32,
     block_bits: int = 23,
     id_col: str = "doc_id",
@@ -246,7 +246,7 @@ def near_groups(
     """doc_id, f0.., component_id (the smallest doc_id reachable over links) per row.
 
     The defaults suit a Jaccard similarity of 0.8 or more between sets of five-word
-    shingles: 44 of 256 bits is the difference expected at about 0.79.  For an exact
+    shingles: 45 of 256 bits is the difference expected at about 0.76.  For an exact
     guarantee on few bits use width 1, ``most`` 3 and two blocks of 32 bits.
 
     Null text counts as empty, and texts without words share fingerprint zero and so
