@@ -1,7 +1,7 @@
 """Exact dedup by content sort.
 
-Range splitters sampled from the texts themselves deal whole texts out to
-partitions (``repartitionByRange``), every partition is sorted with Spark's
+Range splitters sampled from the texts' first bytes and hashes deal whole texts out
+to partitions (``repartitionByRange``), every partition is sorted with Spark's
 external sort, so equal texts end up next to each other, and one walk over the
 sorted rows compares each text in full with its neighbour to delimit the groups.
 
@@ -21,6 +21,9 @@ from tidegraph.llm.common import body, partitions
 
 #: A text with fewer copies than this is never treated as heavy.
 HEAVY_FLOOR = 64
+#: Characters of a text in the range key; the hash after them splits ranges of texts
+#: that start alike.  A bounded key bounds what sampling sends to the driver.
+KEY_CHARS = 24
 
 
 def exact_dedup(
@@ -61,10 +64,11 @@ def exact_dedup(
         hashed = rows.withColumn("h", F.xxhash64("body"))
         cold = hashed.join(marks, "h", "left_anti").drop("h")
 
-    whole = Window.partitionBy("body")
+    whole = Window.partitionBy("start", "hash", "body")
     out = (
-        cold.repartitionByRange(parts, "body")
-        .sortWithinPartitions("body", "doc_id")
+        cold.withColumns({"start": F.substring("body", 1, KEY_CHARS), "hash": F.xxhash64("body")})
+        .repartitionByRange(parts, "start", "hash")
+        .sortWithinPartitions("start", "hash", "body")
         .select(
             "doc_id",
             best("doc_id").over(whole).alias("keep_id"),
