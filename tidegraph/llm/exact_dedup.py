@@ -85,3 +85,39 @@ def exact_dedup(
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
+
+
+def drop_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", num_partitions: int | None = None
+) -> DataFrame:
+    """The rows of ``docs``, all columns, of which each distinct text keeps one.
+
+    The same sort, walked once: of neighbours with equal text the one with the
+    smallest (or largest) identifier stays; a null identifier stays only if no
+    other has its text, and of repeated identifiers any one row does.  Null text
+    counts as empty.  An empty table gives no rows.
+    """
+    if keep not in ("min", "max"):
+        raise ValueError(f"keep must be min or max, not {keep!r}")
+    spark = docs.sparkSession
+    parts = num_partitions or partitions(spark)
+    text = body(text_col)
+    order = F.col(id_col).asc_nulls_last() if keep == "min" else F.col(id_col).desc_nulls_last()
+    rows = docs.withColumns({"__start": F.substring(text, 1, KEY_CHARS), "__hash": F.xxhash64(text)})
+
+    limit = max(rows.count() // (4 * parts), HEAVY_FLOOR)
+    heavy = [(r["__hash"],) for r in rows.groupBy("__hash").count().where(F.col("count") > limit).select("__hash").collect()]
+    cold = rows
+    if heavy:
+        marks = F.broadcast(spark.createDataFrame(heavy, "__hash long"))
+        cold = rows.join(marks, "__hash", "left_anti")
+    dealt = cold.repartitionByRange(parts, "__start", "__hash").sortWithinPartitions("__start", "__hash", text, order)
+    rank = F.row_number().over(Window.partitionBy("__start", "__hash", text).orderBy(order))
+    out = dealt.withColumn("__rank", rank).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    if heavy:  # one row per task and text is shuffled
+        hot = rows.join(marks, "__hash", "left_semi")
+        fields = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        best = F.min_by if keep == "min" else F.max_by
+        one = hot.groupBy(text.alias("__text")).agg(F.coalesce(best(fields, id_col), F.first(fields)).alias("__row"))
+        out = out.unionByName(one.select("__row.*"))
+    return out
