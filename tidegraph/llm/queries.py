@@ -13,6 +13,7 @@ from tidegraph.llm.html_text import extract
 from tidegraph.llm.language_id import identify
 from tidegraph.llm.near_vectors import near_vectors
 from tidegraph.llm.packing import pack
+from tidegraph.llm.segmentations import sample_segmentations
 from tidegraph.llm.secrets import BASE_RULES, RULES, joined, scan
 from tidegraph.llm.simhash import near_groups
 from tidegraph.llm.token_files import read_tokens, write_tokens
@@ -33,6 +34,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), k=2)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     found = identify(table(spark, sf_dir, "documents"), learn_from=~held_out)
@@ -109,6 +114,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_segmentations": op3_segmentations,
     "op4_language_id": op4_language_id,
     "op5_secret_scan": op5_secret_scan,
     "op6_near_vectors": op6_near_vectors,
