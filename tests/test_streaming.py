@@ -121,3 +121,33 @@ def test_sinks(spark, tmp_path):
     assert sorted(lines) == ["+ new 2", "- old"]
     file_sink(str(tmp_path / "out"))(diff, 3)
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_earlier_values_and_retained_history(spark):
+    changes = [node("r1", "Room", at=0, name="R", temp=20), node("r1", "Room", "update", at=1000, temp=25), node("r1", "Room", "update", at=2000, temp=25), node("r1", "Room", "delete", at=3000)]
+    log = spark.createDataFrame([ContinuousQuery.row(c, k) for k, c in enumerate(changes)], CHANGES)
+    q = ContinuousQuery("MATCH (r:Room) RETURN r.name AS name, r.temp AS now, x.previousValue(r.temp, 0) AS before, x.previousDistinctValue(r.temp) AS other", ROOMS)
+    got = sorted((r.now, r.before) for r in q.result(log).collect())
+    assert got == [(20, 0), (25, 20), (25, 25)]
+    total = ContinuousQuery("MATCH (r:Room) RETURN sum(x.retainHistory(r.temp)) AS s", ROOMS)
+    assert total.result(log).head().s == 70.0
+    version = ContinuousQuery("MATCH (r:Room) WITH r, x.getVersionByTimestamp(r, 1500) AS v RETURN v.temp AS t, count(r) AS n", ROOMS)
+    assert [tuple(r) for r in version.result(log).collect()] == [(25, 3)]
+
+
+def test_server(spark, tmp_path):
+    from tidegraph.server import Server
+
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"seq": 1, "source_id": "t", "element_type": "node", "effective_from": 0} | node("r1", "Room", name="R", temp=5) | {"properties": '{"name": "R", "temp": 5}'})]
+    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
+    known = spark.createDataFrame([ContinuousQuery.row(node("r0", "Room", name="Q", temp=1), 0)], CHANGES)
+    got = []
+    server = Server(spark, str(tmp_path / "state")).add_source("s", json_folder(spark, str(tmp_path / "in")), known)
+    server.add_query("q", ContinuousQuery("MATCH (r:Room) RETURN r.name AS name", ROOMS), "s").add_reaction("m", "q", memory_sink(got))
+    assert server.status("q") == "added" and server.dependencies() == [("s", "q"), ("q", "m")]
+    server.start("q")
+    server.queries["q"].stream.awaitTermination(120)
+    assert server.status("q") == "stopped" and sorted(r.name for r in server.results("q").collect()) == ["Q", "R"] and len(got) == 2
+    with pytest.raises(ValueError, match="feeds"):
+        server.remove_source("s")

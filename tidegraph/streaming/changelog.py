@@ -27,25 +27,20 @@ CHANGES = T.StructType(
 )
 
 
-def versions(changes: DataFrame) -> DataFrame:
-    """Each change with the element's whole state after it.
+def element_versions(changes: DataFrame) -> DataFrame:
+    """Every version of every element, with the whole state it had then.
 
     Updates fill properties they do not name from the version before (labels are not
-    merged); an update of an unknown element acts as an insert; after a delete an
-    element starts afresh.  ``life`` counts an element's inserts after deletes.
+    merged); an update of an unknown element acts as an insert; an insert, and what
+    follows a delete, starts afresh.  Deletes themselves are no versions.
     """
     own = Window.partitionBy("source_id", "element_id").orderBy("seq")
-    life = F.sum(F.when(F.col("op").isin("delete", "insert"), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0))
-    held = F.from_json("properties", "map<string,variant>")
-    seen = changes.withColumn("life", F.when(F.col("op") == "delete", life - 1).otherwise(life)).withColumn("__p", held)
-    so_far = Window.partitionBy("source_id", "element_id", "life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    # the latest value of every property: later entries win
-    merged = F.aggregate(
-        F.collect_list("__p").over(so_far),
-        F.create_map().cast("map<string,variant>"),
-        lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(p, k)), p),
-    )
-    return seen.withColumn("state", merged).drop("__p")
+    starts = F.sum(F.when(F.col("op") == "update", 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    lives = changes.withColumn("__life", starts).where("op <> 'delete'").withColumn("__p", F.from_json("properties", "map<string,string>"))
+    so_far = Window.partitionBy("source_id", "element_id", "__life").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    empty = F.create_map().cast("map<string,string>")
+    merged = F.aggregate(F.collect_list("__p").over(so_far), empty, lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: ~F.map_contains_key(p, k)), p))
+    return lives.select("source_id", "element_id", "element_type", "labels", "src_id", "dst_id", "effective_from", "seq", merged.alias("properties"))
 
 
 def current_elements(changes: DataFrame) -> DataFrame:
@@ -66,8 +61,8 @@ def current_elements(changes: DataFrame) -> DataFrame:
     return heads.join(props, ["source_id", "element_id"], "left")
 
 
-def element_tables(elements: DataFrame, nodes: dict[str, dict[str, str]], relations: dict[str, tuple[str, str, dict[str, str]]] | None = None) -> Graph:
-    """A graph over current elements.
+def element_tables(elements: DataFrame, nodes: dict[str, dict[str, str]], relations: dict[str, tuple[str, str, dict[str, str]]] | None = None, history: bool = False) -> Graph:
+    """A graph over current elements, or over all their versions with ``history``.
 
     ``nodes``: label to properties and their SQL types; ``relations``: label to start
     label, end label and properties.
@@ -79,7 +74,7 @@ def element_tables(elements: DataFrame, nodes: dict[str, dict[str, str]], relati
         return own.select("element_id", "effective_from", *more, *[F.try_element_at("properties", F.lit(p)).try_cast(t).alias(p) for p, t in props.items()])
 
     for label, props in nodes.items():
-        graph.add_nodes(label, typed(label, "node", props), "element_id", "effective_from")
+        graph.add_nodes(label, typed(label, "node", props), "element_id", "effective_from", history)
     for label, (start, end, props) in (relations or {}).items():
         graph.add_relations(label, typed(label, "relation", props, "src_id", "dst_id"), (start, "src_id"), (end, "dst_id"), "element_id", "effective_from")
     return graph

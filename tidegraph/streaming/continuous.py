@@ -21,11 +21,13 @@ from tidegraph.operators.middleware import Pipeline
 from tidegraph.parser import parse_cypher, parse_gql
 from tidegraph.parser.grammar import base_name, has_aggregate, is_aggregate
 from tidegraph.plans.compile import Compiler
-from tidegraph.streaming.changelog import CHANGES, current_elements, element_tables
+from tidegraph.streaming.changelog import CHANGES, current_elements, element_tables, element_versions
 from tidegraph.streaming.diff import diff_results
 
 #: Functions whose result changes as time passes.
 TIMED = frozenset(("trueFor", "trueUntil", "trueLater", "trueNowOrLater", "future", "slidingWindow"))
+#: Functions that look at earlier versions of elements.
+HISTORIC = frozenset(("previousValue", "previousDistinctValue", "getVersionByTimestamp", "getVersionsByTimeRange", "retainHistory"))
 _IDENTITY = {"count": 0, "sum": 0.0, "avg": 0.0}
 
 
@@ -56,9 +58,11 @@ class ContinuousQuery:
 
     def timed(self) -> bool:
         """Whether the result may change without a change of any element."""
+        return self.uses(TIMED)
 
+    def uses(self, names: frozenset[str]) -> bool:
         def uses(e) -> bool:
-            return isinstance(e, Call) and base_name(e.name) in TIMED or any(map(uses, children(e)))
+            return isinstance(e, Call) and base_name(e.name) in names or any(map(uses, children(e)))
 
         return any(uses(e) for p in self.parsed.parts for e in [*p.where, *(i.expr for i in p.items)])
 
@@ -67,7 +71,10 @@ class ContinuousQuery:
         """The result over all changes so far, as of a clock."""
         if self.middleware is not None:
             changes = self.middleware.apply(changes)
-        graph = element_tables(current_elements(changes), self.nodes, self.relations)
+        if self.uses(HISTORIC):  # a row per version: aggregates under retainHistory never take one back
+            graph = element_tables(element_versions(changes), self.nodes, self.relations, history=True)
+        else:
+            graph = element_tables(current_elements(changes), self.nodes, self.relations)
         for id_, keys in self.joins.items():
             graph.add_join(id_, *keys)
         return Compiler(graph, params=self.params, now=now).run(self.parsed)
