@@ -151,3 +151,15 @@ def test_server(spark, tmp_path):
     assert server.status("q") == "stopped" and sorted(r.name for r in server.results("q").collect()) == ["Q", "R"] and len(got) == 2
     with pytest.raises(ValueError, match="feeds"):
         server.remove_source("s")
+
+
+def test_ticks_between_batches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    change = {"seq": 1, "source_id": "t", "element_type": "node", "op": "insert", "element_id": "r1", "labels": ["Room"], "effective_from": 0, "properties": '{"name": "R", "temp": 50}'}
+    (tmp_path / "in" / "a.json").write_text(json.dumps(change))
+    q = ContinuousQuery("MATCH (r:Room) WHERE x.trueFor(r.temp > 10, 60000) RETURN r.name AS name", ROOMS)
+    at = lambda s: lambda: dt.datetime.fromtimestamp(s, dt.timezone.utc)
+    got = []
+    q.start(json_folder(spark, str(tmp_path / "in")), str(tmp_path / "state"), memory_sink(got), clock=at(30)).awaitTermination(120)
+    assert got == [] and q.tick(spark, str(tmp_path / "state"), at(59)).count() == 0
+    assert short(q.tick(spark, str(tmp_path / "state"), at(60)).collect()) == [("add", None, ("R",))]

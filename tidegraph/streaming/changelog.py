@@ -61,6 +61,18 @@ def current_elements(changes: DataFrame) -> DataFrame:
     return heads.join(props, ["source_id", "element_id"], "left")
 
 
+def advance_elements(before: DataFrame, changes: DataFrame) -> DataFrame:
+    """Current elements after further changes: only those the changes touch are merged anew."""
+    keys = ["source_id", "element_id"]
+    touched = changes.select(*keys).distinct()
+    known = before.join(touched, keys, "left_semi").select(
+        F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("op"), "element_type", "source_id", "element_id", "labels", "effective_from",
+        F.lit(None).cast("string").alias("src_source_id"), "src_id", F.lit(None).cast("string").alias("dst_source_id"), "dst_id", F.coalesce(F.to_json("properties"), F.lit("{}")).alias("properties"),
+    )
+    merged = current_elements(known.unionByName(changes.select(*known.columns)))
+    return before.join(touched, keys, "left_anti").select(*merged.columns).unionByName(merged)
+
+
 def element_tables(elements: DataFrame, nodes: dict[str, dict[str, str]], relations: dict[str, tuple[str, str, dict[str, str]]] | None = None, history: bool = False) -> Graph:
     """A graph over current elements, or over all their versions with ``history``.
 

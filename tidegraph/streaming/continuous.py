@@ -1,9 +1,11 @@
 """Queries kept up to date over a stream of changes.
 
-Each micro-batch appends its changes to a log, derives the current elements, runs the
-compiled query and reports how its result differs from the one before.  State and
+Each micro-batch appends its changes to a log, merges them into the table of current
+elements, runs the compiled query and reports how its result differs from the one
+before.  Queries that look at earlier versions read the whole log instead.  State and
 results are tables under one folder, written once per batch number, so a batch that
-runs again after a failure replaces what it wrote before.
+runs again after a failure replaces what it wrote before; versions older than the
+last KEEP batches are removed.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from tidegraph.operators.middleware import Pipeline
 from tidegraph.parser import parse_cypher, parse_gql
 from tidegraph.parser.grammar import base_name, has_aggregate, is_aggregate
 from tidegraph.plans.compile import Compiler
-from tidegraph.streaming.changelog import CHANGES, current_elements, element_tables, element_versions
+from tidegraph.streaming.changelog import CHANGES, advance_elements, current_elements, element_tables, element_versions
 from tidegraph.streaming.diff import diff_results
 
 #: Functions whose result changes as time passes.
 TIMED = frozenset(("trueFor", "trueUntil", "trueLater", "trueNowOrLater", "future", "slidingWindow"))
 #: Functions that look at earlier versions of elements.
 HISTORIC = frozenset(("previousValue", "previousDistinctValue", "getVersionByTimestamp", "getVersionsByTimeRange", "retainHistory"))
+KEEP = 3
 _IDENTITY = {"count": 0, "sum": 0.0, "avg": 0.0}
 
 
@@ -69,12 +72,15 @@ class ContinuousQuery:
     # -- evaluation
     def result(self, changes: DataFrame, now: dt.datetime | None = None) -> DataFrame:
         """The result over all changes so far, as of a clock."""
-        if self.middleware is not None:
-            changes = self.middleware.apply(changes)
-        if self.uses(HISTORIC):  # a row per version: aggregates under retainHistory never take one back
-            graph = element_tables(element_versions(changes), self.nodes, self.relations, history=True)
-        else:
-            graph = element_tables(current_elements(changes), self.nodes, self.relations)
+        changes = self.prepared(changes)
+        return self.over(element_versions(changes) if self.uses(HISTORIC) else current_elements(changes), now)
+
+    def prepared(self, changes: DataFrame) -> DataFrame:
+        return self.middleware.apply(changes) if self.middleware is not None else changes
+
+    def over(self, elements: DataFrame, now: dt.datetime | None) -> DataFrame:
+        # with history there is a row per version: aggregates under retainHistory never take one back
+        graph = element_tables(elements, self.nodes, self.relations, history=self.uses(HISTORIC))
         for id_, keys in self.joins.items():
             graph.add_join(id_, *keys)
         return Compiler(graph, params=self.params, now=now).run(self.parsed)
@@ -120,17 +126,42 @@ class ContinuousQuery:
         return changes.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
     def advance(self, spark: SparkSession, folder: str, number: int, sink: Callable[[DataFrame, int], None], clock: Callable[[], dt.datetime] | None) -> None:
-        every = spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log").where(F.col("batch") <= number)
         now = clock() if clock else dt.datetime.now(dt.timezone.utc)
-        self.result(every.drop("batch"), now).write.mode("overwrite").parquet(f"{folder}/results/{number}")
+        log = spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log")
+        self.elements(spark, folder, number, log)
+        self.over(self.known(spark, folder, number), now).write.mode("overwrite").parquet(f"{folder}/results/{number}")
         after = spark.read.parquet(f"{folder}/results/{number}")
-        earlier = self.latest(spark, folder, number)
+        earlier = self.latest(spark, f"{folder}/results", number)
         sink(self.diff(after.where("false") if earlier is None else spark.read.parquet(f"{folder}/results/{earlier}"), after), number)
+        self.prune(spark, folder, number)
+
+    def elements(self, spark: SparkSession, folder: str, number: int, log: DataFrame) -> None:
+        """Write the current elements as of a batch."""
+        if self.uses(HISTORIC):
+            return
+        earlier = self.latest(spark, f"{folder}/elements", number)
+        new = self.prepared(log.where(F.col("batch").between((-1 if earlier is None else earlier + 1), number)).drop("batch"))
+        now = current_elements(new) if earlier is None else advance_elements(spark.read.parquet(f"{folder}/elements/{earlier}"), new)
+        now.write.mode("overwrite").parquet(f"{folder}/elements/{number}")
+
+    def known(self, spark: SparkSession, folder: str, number: int) -> DataFrame:
+        if self.uses(HISTORIC):
+            log = spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log").where(F.col("batch") <= number)
+            return element_versions(self.prepared(log.drop("batch")))
+        return spark.read.parquet(f"{folder}/elements/{number}")
+
+    def prune(self, spark: SparkSession, folder: str, number: int) -> None:
+        for kind in ("elements", "results"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{kind}")
+            store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            for s in store.listStatus(path) if store.exists(path) else []:
+                if int(s.getPath().getName()) <= number - KEEP:
+                    store.delete(s.getPath(), True)
 
     @staticmethod
     def latest(spark: SparkSession, folder: str, before: float = float("inf")) -> int | None:
-        """The number of the last result written before a batch."""
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/results")
+        """The number of the last table written in a folder before a batch."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         store = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if not store.exists(path):
             return None
@@ -139,10 +170,10 @@ class ContinuousQuery:
 
     def results(self, spark: SparkSession, folder: str) -> DataFrame | None:
         """The live result."""
-        number = self.latest(spark, folder)
+        number = self.latest(spark, f"{folder}/results")
         return None if number is None else spark.read.parquet(f"{folder}/results/{number}")
 
     def tick(self, spark: SparkSession, folder: str, clock: Callable[[], dt.datetime]) -> DataFrame:
         """Differences that time alone has made since the last batch; nothing is written."""
-        log = spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log").drop("batch")
-        return self.diff(self.results(spark, folder), self.result(log, clock()))
+        number = self.latest(spark, f"{folder}/results")
+        return self.diff(self.results(spark, folder), self.over(self.known(spark, folder, number), clock()))
