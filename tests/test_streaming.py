@@ -97,8 +97,8 @@ def test_error_policies(pod):
 def test_unwind_and_map(pod):
     out = {r.element_id: r for r in Unwind("Pod", "$.status.c[*]", "Container", "$.id", "OWNS").apply(pod).collect()}
     assert set(out) == {"p", "$unwind-$.status.c[*]-p-q", "$unwind-$.status.c[*]-p-w", "$unwind-$.status.c[*]-p-q$rel", "$unwind-$.status.c[*]-p-w$rel"}
-    mapped = Map({("Pod", "insert"): (Mapping(selector="$.sig[?(@.n == 'Speed')]", label="Vehicle", id="$.zip", op="update", properties={"speed": "$selected.v"}),)}).apply(pod).collect()
-    assert [(r.op, r.labels, r.element_id, json.loads(r.properties)) for r in mapped] == [("update", ["Vehicle"], "07", {"speed": 3})]
+    mapped = Map({("Pod", "insert"): (Mapping(selector="$.sig[?(@.n == 'Speed')]", label="Vehicle", id="$.zip", op="update", properties={"speed": "$selected.v", "zip": "$.zip", "kind": "car"}),)}).apply(pod).collect()
+    assert [(r.op, r.labels, r.element_id, json.loads(r.properties)) for r in mapped] == [("update", ["Vehicle"], "07", {"speed": 3, "zip": "07", "kind": "car"})]
 
 
 def test_sources(spark, tmp_path):

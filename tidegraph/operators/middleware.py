@@ -34,6 +34,13 @@ def get(json: Column, path: str) -> Column:
     return F.get_json_object(json, check_path(path))
 
 
+def json_at(json: Column, path: str) -> Column:
+    """JSON of the value at a path, text quoted; null where there is none."""
+    if "[*]" in check_path(path):
+        return _as_json(F.get_json_object(json, path))
+    return F.to_json(F.try_variant_get(F.try_parse_json(json), path, "variant"))
+
+
 def _as_json(text: Column) -> Column:
     """JSON for a value taken out with ``get``: numbers, booleans, arrays and objects as they are, else quoted."""
     bare = text.rlike(r"^(-?\d+(\.\d+)?([eE][-+]?\d+)?|true|false|null|[\[{].*)$")
@@ -90,9 +97,9 @@ class Promote:
         out = changes
         for path, target in self.mappings:
             props = F.col(OTHER)
-            value = get(props, path)
+            value = json_at(props, path)
             taken = F.array_contains(F.json_object_keys(props), target)
-            done = with_property(props, F.lit(target), _as_json(value))
+            done = with_property(props, F.lit(target), value)
             if self.on_conflict == SKIP:
                 done = F.when(taken, props).otherwise(done)
             elif self.on_conflict == FAIL:
@@ -227,11 +234,19 @@ class Map:
             return get(F.col("__sel"), f"${rest}") if rest else F.col("__sel")
         return get(F.col(OTHER), path) if path.startswith("$") else F.lit(path)
 
+    @classmethod
+    def json(cls, path: str) -> Column:
+        if path == "$selected":
+            return _as_json(F.col("__sel"))
+        if path.startswith("$selected"):
+            return json_at(F.col("__sel"), f"${path.removeprefix('$selected')}")
+        return json_at(F.col(OTHER), path) if path.startswith("$") else quote(F.lit(path))
+
     def mapped(self, own: DataFrame, m: Mapping, label: str) -> DataFrame:
         rows = self.selected(own, m.selector)
         if m.condition:
             rows = rows.where(F.coalesce(self.at(m.condition).isin("true"), F.lit(False)) if m.condition.startswith("$") else F.expr(m.condition))
-        pairs = [F.concat(quote(F.lit(k)), F.lit(":"), F.coalesce(_as_json(self.at(p)), F.lit("null"))) for k, p in m.properties.items()]
+        pairs = [F.concat(quote(F.lit(k)), F.lit(":"), F.coalesce(self.json(p), F.lit("null"))) for k, p in m.properties.items()]
         props = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if pairs else F.col(OTHER)
         return rows.withColumns(
             {

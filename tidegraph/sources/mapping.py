@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.operators.middleware import _as_json, get, quote
+from tidegraph.operators.middleware import get, json_at, quote
 from tidegraph.sources.readers import as_changes
 
 _TIMES = {"iso8601": lambda c: F.unix_millis(c.try_cast("timestamp")), "unix_seconds": lambda c: c.try_cast("long") * 1000, "unix_millis": lambda c: c.try_cast("long"), "unix_nanos": lambda c: F.floor(c.try_cast("long") / 1_000_000)}
@@ -70,7 +70,7 @@ class MappingRule:
             op = F.try_element_at(names, get(record, self.operation_from))
             own = own.where(op.isNotNull())
         at = _TIMES[self.effective_format](get(record, self.effective_from)) if self.effective_from else F.lit(0)
-        pairs = [F.concat(quote(F.lit(k)), F.lit(":"), F.coalesce(_as_json(get(record, p)), F.lit("null"))) for k, p in self.properties.items()]
+        pairs = [F.concat(quote(F.lit(k)), F.lit(":"), F.coalesce(json_at(record, p), F.lit("null"))) for k, p in self.properties.items()]
         props = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}"))
         return as_changes(
             own, seq=seq, op=op, element_type=F.lit(self.element_type), source_id=F.lit(source_id), element_id=self.text(self.id, record), labels=F.array(*[F.lit(x) for x in self.labels]), effective_from=F.coalesce(at, F.lit(0)), properties=props,
