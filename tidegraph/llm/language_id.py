@@ -33,8 +33,9 @@ UNKNOWN = "und"
 #: calibrates.
 SAMPLE_DOCS, SAMPLE_CHARS = 500, 100_000
 #: Cross-entropies up to this many standard deviations (or REJECT_LEAST nats) above
-#: those of a language's calibration documents are accepted.
-REJECT_SIGMAS, REJECT_LEAST = 6.0, 0.75
+#: those of a language's calibration documents are accepted, and short texts get
+#: SHORT / sqrt(characters) more: mixed languages, codes and numbers are no ground to reject.
+REJECT_SIGMAS, REJECT_LEAST, SHORT = 6.0, 1.75, 5.0
 #: Confidence is judged as if a text had at most this many characters: neighbouring
 #: characters are not independent evidence.
 EVIDENCE = 400
@@ -168,7 +169,7 @@ class Identifier:
                 "lang_pred": np.where(some, np.array(self.languages, object)[best], UNKNOWN),
                 "score": np.where(some, self.beliefs(entropy, n).max(axis=1), 0.0),
                 "entropy": np.where(some, low, np.nan),
-                "accepted": some & (low <= np.array(self.reject_above or [np.inf] * len(self.languages))[best]),
+                "accepted": some & (low <= np.array(self.reject_above or [np.inf] * len(self.languages))[best] + SHORT / np.sqrt(np.maximum(n, 1))),
             }
         )
 
