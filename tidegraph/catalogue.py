@@ -33,11 +33,11 @@ _NODES = (
 
 
 def test_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = lambda name: lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet")  # noqa: E731  opened when first used
     g = Graph()
     for label, table, key, changed in _NODES:
         g.add_nodes(label, read(table), key, changed)
-    g.add_nodes("User", read("events").select("user_id", "event_type", "value", "ts"), "user_id", "ts", history=True)
+    g.add_nodes("User", lambda: read("events")().select("user_id", "event_type", "value", "ts"), "user_id", "ts", history=True)
     g.add_join("IN_REGION", ("Nation", "n_regionkey"), ("Region", "r_regionkey"))
     g.add_join("IN_NATION", ("Customer", "c_nationkey"), ("Nation", "n_nationkey"), ("Supplier", "s_nationkey"))
     g.add_join("PLACED_BY", ("Order", "o_custkey"), ("Customer", "c_custkey"))

@@ -7,7 +7,9 @@ columns it uses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,26 +24,38 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: A table, or a function that opens it when a query first needs it.
+Table = DataFrame | Callable[[], DataFrame]
+
+
+class _Opened:
+    source: Table
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
+
+
 @dataclass(frozen=True)
-class NodeTable:
+class NodeTable(_Opened):
     """Elements of a label.  ``effective_from``: column with milliseconds or a timestamp.
 
     ``history`` tables hold all versions of their elements; others the current one.
     """
 
     label: str
-    df: DataFrame
+    source: Table
     key: str
     effective_from: str | None = None
     history: bool = False
 
 
 @dataclass(frozen=True)
-class RelationTable:
+class RelationTable(_Opened):
     """Relations with columns that hold the keys of their start and end."""
 
     label: str
-    df: DataFrame
+    source: Table
     start_label: str
     start: str
     end_label: str
@@ -89,11 +103,11 @@ class Graph:
     relations: dict[str, list[RelationTable]] = field(default_factory=dict)
     joins: dict[str, PropertyJoin] = field(default_factory=dict)
 
-    def add_nodes(self, label: str, df: DataFrame, key: str, effective_from: str | None = None, history: bool = False) -> Graph:
+    def add_nodes(self, label: str, df: Table, key: str, effective_from: str | None = None, history: bool = False) -> Graph:
         self.nodes[label] = NodeTable(label, df, key, effective_from, history)
         return self
 
-    def add_relations(self, label: str, df: DataFrame, start: tuple[str, str], end: tuple[str, str], key: str | None = None, effective_from: str | None = None) -> Graph:
+    def add_relations(self, label: str, df: Table, start: tuple[str, str], end: tuple[str, str], key: str | None = None, effective_from: str | None = None) -> Graph:
         self.relations.setdefault(label, []).append(RelationTable(label, df, *start, *end, key, effective_from))
         return self
 
