@@ -10,9 +10,15 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegraph.graph import Graph
+from tidegraph.operators import ParseJson, Pipeline, Promote, Relabel
 from tidegraph.plans.compile import compile_query
+from tidegraph.sources import MappingRule, map_records
+from tidegraph.sources.readers import as_changes
+from tidegraph.streaming import current_elements, diff_results, element_tables
+from tidegraph.streaming.changelog import advance_elements
 
 #: The clock of queries that depend on time.
 CLOCK = dt.datetime(2024, 1, 16, tzinfo=dt.timezone.utc)
@@ -258,3 +264,87 @@ _add(
     "gql",
 )
 
+
+
+# -- change logs, differences and middleware over the events table
+
+
+def _query(name: str, sql: str):
+    def add(run: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = run
+        SQL[name] = sql
+        return run
+
+    return add
+
+
+def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of users: purchases are inserts, errors delete, the rest are updates."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "insert").otherwise("update")
+    # updates by clicks name one property only, so that the other is kept from before
+    props = F.when(F.col("event_type") == "click", F.to_json(F.struct("value"))).otherwise(F.to_json(F.struct("value", "event_type", "props")))
+    return as_changes(
+        events, seq=F.col("event_id"), op=op, element_type=F.lit("node"), source_id=F.lit("events"), element_id=F.col("user_id").cast("string"), labels=F.array(F.lit("User")), effective_from=F.unix_millis(F.col("ts").cast("timestamp")), properties=props
+    )
+
+
+_LIVE = """
+    WITH e AS (SELECT *, max(CASE WHEN event_type IN ('error', 'purchase') THEN event_id END) OVER (PARTITION BY user_id) AS since FROM events),
+    live AS (SELECT * FROM e WHERE (since IS NULL OR event_id >= since) AND event_type <> 'error')
+    SELECT user_id AS user, arg_max(value, event_id) AS value, arg_max(event_type, event_id) FILTER (event_type <> 'click') AS kind FROM live GROUP BY 1
+"""
+
+
+@_query("current_state", _LIVE)
+def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = element_tables(current_elements(event_changes(spark, sf_dir)), {"User": {"value": "double", "event_type": "string"}})
+    return compile_query(graph, "MATCH (u:User) RETURN toInteger(elementId(u)) AS user, u.value AS value, u.event_type AS kind")
+
+
+@_query("advanced_state", _LIVE)
+def advanced_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state reached in two steps."""
+    changes = event_changes(spark, sf_dir)
+    middle = changes.agg(F.percentile_approx("seq", 0.5)).head()[0]
+    state = advance_elements(current_elements(changes.where(F.col("seq") <= middle)), changes.where(F.col("seq") > middle))
+    graph = element_tables(state, {"User": {"value": "double", "event_type": "string"}})
+    return compile_query(graph, "MATCH (u:User) RETURN toInteger(elementId(u)) AS user, u.value AS value, u.event_type AS kind")
+
+
+@_query(
+    "result_differences",
+    """
+    WITH a AS (SELECT event_type AS kind, count(*) AS n FROM events WHERE ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-02' GROUP BY 1),
+    b AS (SELECT event_type AS kind, count(*) AS n FROM events WHERE ts + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-16' GROUP BY 1)
+    SELECT 'aggregation' AS op, coalesce(a.kind, b.kind) AS kind, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, a.kind IS NULL AS new
+    FROM a FULL JOIN b ON a.kind = b.kind WHERE a.n IS DISTINCT FROM b.n
+    """,
+)
+def result_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "MATCH (e:Event) WHERE tide.trueLater(true, e.ts + duration({hours: 1})) RETURN e.event_type AS kind, count(e) AS n"
+    at = lambda day: compile_query(test_graph(spark, sf_dir), text, now=dt.datetime(2024, 1, day, tzinfo=dt.timezone.utc))
+    diff = diff_results(at(2), at(16), ["kind"], {"n": 0})
+    return diff.select("op", F.col("after.kind").alias("kind"), F.col("before.n").alias("before"), F.col("after.n").alias("after"), F.col("default_before").alias("new"))
+
+
+@_query(
+    "middleware_chain",
+    "SELECT event_id AS seq, 'Person' AS label, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, value FROM events WHERE event_type NOT IN ('error', 'click')",
+)
+def middleware_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON text property parsed, a nested value promoted, the label renamed."""
+    chain = Pipeline((ParseJson("props", "parsed", on_error="skip"), Promote((("$.parsed.k", "k"),), on_error="skip"), Relabel({"User": "Person"})))
+    rows = chain.apply(event_changes(spark, sf_dir)).where(F.get_json_object("properties", "$.event_type").isNotNull() & (F.col("op") != "delete"))
+    at = lambda path, kind: F.get_json_object("properties", path).cast(kind)
+    return rows.select("seq", F.col("labels")[0].alias("label"), at("$.k", "long").alias("k"), at("$.value", "double").alias("value"))
+
+
+@_query(
+    "mapped_records",
+    "SELECT 'k' || json_extract_string(props, '$.k') AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE regexp_matches(json_extract_string(props, '$.k'), '^[1-3]')",
+)
+def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("props").alias("value"))
+    rule = MappingRule("k{$.k}", ("K",), {"k": "$.k"}, when=("$.k", "regex", "^[1-3]"))
+    return map_records(records, [rule]).select(F.col("element_id").alias("id"), F.get_json_object("properties", "$.k").cast("long").alias("k"))
