@@ -17,7 +17,6 @@ Everything runs on DataFrame and SQL functions; no row leaves the JVM.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,11 +84,8 @@ def build_index(docs: DataFrame, grams: list[str], buckets: int, id_col: str = "
 
     Only positions and one bit per trigram are shuffled, never text.
     """
-    low = F.lower(body(text_col))
-    found = docs.select(
-        _position(id_col, buckets).alias("at"),
-        F.filter(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]), lambda x: x.isNotNull()).alias("grams"),
-    )
+    low = docs.select(_position(id_col, buckets).alias("at"), F.lower(body(text_col)).alias("low"))
+    found = low.select("at", F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]), lambda x: x.isNotNull()).alias("grams"))
     held = found.select(F.shiftright("at", 15).alias("bucket"), (F.col("at") % BUCKET).alias("bit"), "grams").repartition("bucket")
     maps = held.groupBy("bucket").agg(
         *[F.bitmap_construct_agg(F.when(F.array_contains("grams", k), F.col("bit"))).alias(f"g{k}") for k in range(len(grams))]
