@@ -51,3 +51,20 @@ def test_against_brute_force(spark, vectors, tile, monkeypatch):
 def test_empty_and_alone(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nv.near_vectors(df).collect()] == [(1, 0, 1, True)] and nv.near_vectors(df.where("false")).count() == 0
+
+
+def test_links_between_groups_larger_than_a_list(spark):
+    draw = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a = unit(draw.normal(size=(12, 64)))
+    b = unit(draw.normal(size=(12, 64)))
+    b = unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    twins = np.concatenate([a, 0.97 * a + np.sqrt(1 - 0.97**2) * b])
+    x = np.concatenate([twins.repeat(20, axis=0) + draw.normal(scale=0.004, size=(480, 64)), draw.normal(size=(800, 64))])
+    rows = [(k, v.tolist()) for k, v in enumerate(x.astype("f4"))]
+    u = unit(x.astype("f4").astype("f8"))
+    n_links = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert n_links[:480].min() == 39
+    got = {r.vec_id: r for r in nv.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
+    assert [got[k].n_links for k in range(len(x))] == n_links.tolist()
+    assert all(got[k].component_id == k % 240 // 20 * 20 for k in range(480))

@@ -7,8 +7,10 @@ are the neighbours-of-neighbours of each, and every list keeps its K best.  Edge
 or above the threshold join vectors into components.
 
 A list that holds nothing below the threshold is saturated: the vector may have
-further links.  Lists in such components grow to the whole component, tile by tile,
-so that links are counted in double precision without ever being written as pairs.
+further links.  While there are such lists, the search goes on with lists that admit
+only vectors of other components, until none of those is saturated either; no list
+hides a link between components then.  Links inside a component are counted tile by
+tile in double precision, without ever being written as pairs.
 An audit compares a bounded set of vectors with all others and, while it finds fewer
 of their links than asked for, more buckets and rounds follow.
 """
@@ -79,7 +81,7 @@ def _matrix(column: pd.Series, kind: str) -> np.ndarray:
 
 
 def propose(groups: DataFrame, num_partitions: int) -> DataFrame:
-    """(v, u, sim): the best PROPOSALS of each member's group, if above its bar.  groups: g, v, small, bar."""
+    """(v, u, sim): the best PROPOSALS of each member's group, if above its bar and of another root.  groups: g, v, root, small, bar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, n = [], 0
@@ -87,10 +89,13 @@ def propose(groups: DataFrame, num_partitions: int) -> DataFrame:
             m = len(pdf)
             if m < 2:
                 continue
-            x, v, bar = _matrix(pdf["small"], "f2").astype("f4"), pdf["v"].to_numpy(), pdf["bar"].to_numpy()
+            v, root, bar = pdf["v"].to_numpy(), pdf["root"].to_numpy(), pdf["bar"].to_numpy()
+            if (root == root[0]).all():
+                continue
+            x = _matrix(pdf["small"], "f2").astype("f4")
             for a in range(0, m, TILE):
                 sim = x[a : a + TILE] @ x.T
-                sim[v[a : a + TILE, None] == v[None, :]] = -2
+                sim[root[a : a + TILE, None] == root[None, :]] = -2
                 best = np.argpartition(sim, m - min(PROPOSALS, m), axis=1)[:, -PROPOSALS:]
                 row, rank = np.nonzero(np.take_along_axis(sim, best, 1) > bar[a : a + TILE, None])
                 out.append((v[a + row], v[best[row, rank]], sim[row, best[row, rank]]))
@@ -104,6 +109,20 @@ def propose(groups: DataFrame, num_partitions: int) -> DataFrame:
     return groups.repartition(num_partitions, "g").sortWithinPartitions("g").mapInPandas(run, "v long, u long, sim float")
 
 
+def rooted(units: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The vectors with the root of their component; those in none are their own."""
+    if roots is None:
+        return units.withColumn("root", F.col("v"))
+    return units.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+
+
+def between_components(lists: DataFrame, units: DataFrame) -> DataFrame:
+    """The entries whose ends have different roots."""
+    ends = units.select("v", "root")
+    apart = lists.join(ends, "v").join(ends.toDF("u", "other"), "u").where("root <> other")
+    return apart.select("v", "u", "sim")
+
+
 def bucket_groups(units: DataFrame, lists: DataFrame | None, n: int, dims: int, seed: int) -> DataFrame:
     """Groups by the signs of random projections, TABLES of them."""
     bits = max(1, int(np.ceil(np.log2(max(2, n / BUCKET)))))
@@ -116,18 +135,18 @@ def bucket_groups(units: DataFrame, lists: DataFrame | None, n: int, dims: int,
             sign = (_matrix(pdf["small"], "f2").astype("f4") @ planes > 0).reshape(len(pdf), TABLES, bits)
             code = sign @ (1 << np.arange(bits, dtype="i8"))
             for t in range(TABLES):
-                yield pd.DataFrame({"g": code[:, t] << 3 | t, "v": pdf["v"], "small": pdf["small"], "bar": pdf["bar"]})
+                yield pd.DataFrame({"g": code[:, t] << 3 | t, "v": pdf["v"], "root": pdf["root"], "small": pdf["small"], "bar": pdf["bar"]})
 
-    return with_bars(units, lists).mapInPandas(run, "g long, v long, small binary, bar float")
+    return with_bars(units, lists).mapInPandas(run, "g long, v long, root long, small binary, bar float")
 
 
 def with_bars(units: DataFrame, lists: DataFrame | None) -> DataFrame:
     """Each vector with the similarity a newcomer to its list must exceed."""
-    units = units.select("v", "small")
+    units = units.select("v", "root", "small")
     if lists is None:
         return units.withColumn("bar", F.lit(-2.0).cast("float"))
     bars = lists.groupBy("v").agg(F.when(F.count(F.lit(1)) >= K, F.min("sim")).otherwise(-2.0).cast("float").alias("bar"))
-    return units.join(bars, "v", "left").select("v", "small", F.coalesce("bar", F.lit(-2.0)).cast("float").alias("bar"))
+    return units.join(bars, "v", "left").select("v", "root", "small", F.coalesce("bar", F.lit(-2.0)).cast("float").alias("bar"))
 
 
 def refine(units: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
@@ -135,7 +154,7 @@ def refine(units: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
     forward = lists.select(F.col("v").alias("g"), F.col("u").alias("v"))
     back = lists.select(F.col("u").alias("g"), "v")
     near = forward.unionByName(back).distinct()
-    return propose(near.join(with_bars(units, lists), "v").select("g", "v", "small", "bar"), parts)
+    return propose(near.join(with_bars(units, lists), "v").select("g", "v", "root", "small", "bar"), parts)
 
 
 def best_lists(proposals: DataFrame, lists: DataFrame | None) -> DataFrame:
@@ -214,10 +233,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     units = cut(unit_vectors(keyed.where("vec IS NOT NULL").withColumn("id", F.nullif("id", F.lit(NULL_ID)))))
     n, lists, roots = units.count(), None, None
 
-    for start in range(RESTARTS if n > 1 else 0):
-        lists = cut(best_lists(propose(bucket_groups(units, lists, n, dims, seed=start), parts), lists))
+    failed, start = 0, 0
+    while n > 1:
+        here = rooted(units, roots)
+        if roots is not None:
+            here = cut(here)
+            lists = between_components(lists, here)
+        lists = cut(best_lists(propose(bucket_groups(here, lists, n, dims, seed=start), parts), lists))
         for _ in range(ROUNDS):
-            lists = cut(best_lists(refine(units, lists, parts), lists))
+            lists = cut(best_lists(refine(here, lists, parts), lists))
             if lists.agg(F.avg("new")).head()[0] < SETTLED:
                 break
         # 16-bit floats choose candidates; whether an edge holds is decided on doubles
@@ -230,9 +254,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                     ok = (_matrix(pdf["x"], "f8") * _matrix(pdf["y"], "f8")).sum(axis=1) >= threshold
                     yield pdf.loc[ok, ["v", "u"]]
 
-        roots = cut(connected_components(edges.join(mine, "v").join(theirs, "u").mapInPandas(holds, "v long, u long")))
+        edges = cut(edges.join(mine, "v").join(theirs, "u").mapInPandas(holds, "v long, u long"))
+        full = edges.groupBy("v").count().where(F.col("count") >= K).limit(1).count()
+        known = edges if roots is None else edges.unionByName(roots.toDF("v", "u").where("v <> u"))
+        roots, start = cut(connected_components(known)), start + 1
+        if full:
+            continue
         if audited_recall(units, roots, threshold) >= RECALL:
             break
+        failed += 1
+        if failed == RESTARTS:
+            break
 
     told = units.select("v", "copies", "first")
     if roots is not None:
