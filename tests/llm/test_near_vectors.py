@@ -68,3 +68,28 @@ def test_links_between_groups_larger_than_a_list(spark):
     got = {r.vec_id: r for r in nv.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)).collect()}
     assert [got[k].n_links for k in range(len(x))] == n_links.tolist()
     assert all(got[k].component_id == k % 240 // 20 * 20 for k in range(480))
+
+
+def test_audit_counts_by_vector(spark):
+    draw = np.random.default_rng(4)
+    pairs = draw.normal(size=(50, 64)).repeat(2, axis=0) + draw.normal(scale=0.02, size=(100, 64))
+    hot = draw.normal(size=64) + draw.normal(scale=0.02, size=(200, 64))
+    x = np.concatenate([pairs, hot])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "v long, exact binary")
+    linked = spark.createDataFrame([(k, 100) for k in range(100, 300)], "node long, root long")
+    assert nv.audited_recall(units, linked, 0.95) == 0.0
+    linked = linked.union(spark.createDataFrame([(k, k // 2 * 2) for k in range(50)], "node long, root long"))
+    assert nv.audited_recall(units, linked, 0.95) == 0.5
+
+
+def test_failed_audit_is_never_returned(spark, monkeypatch):
+    monkeypatch.setattr(nv, "RESTARTS", 2)
+    monkeypatch.setattr(nv, "audited_recall", lambda *a: 0.9)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="0.900"):
+        nv.near_vectors(df)
+
+
+def test_more_vectors_get_more_tables():
+    assert nv.tables_for(100, 0.95) <= nv.tables_for(20_000, 0.95) < nv.tables_for(100_000, 0.95) < nv.tables_for(10**7, 0.95)

@@ -11,8 +11,10 @@ further links.  While there are such lists, the search goes on with lists that a
 only vectors of other components, until none of those is saturated either; no list
 hides a link between components then.  Links inside a component are counted tile by
 tile in double precision, without ever being written as pairs.
-An audit compares a bounded set of vectors with all others and, while it finds fewer
-of their links than asked for, more buckets and rounds follow.
+Two audits, of vectors in components larger than a list and of all the rest, compare
+a bounded set of vectors each with all others.  Recall counts by vector, so that one
+dense group cannot stand for the isolated pairs.  While either finds less than asked
+for, more buckets and rounds follow; a search that stays below it raises.
 """
 
 from __future__ import annotations
@@ -29,13 +31,13 @@ from tidegraph.llm.components import connected_components
 
 #: Neighbours per vector, and how many a group may propose to a member per round.
 K, PROPOSALS = 8, 5
-#: Hyperplane tables per start, rounds per start, and a group's share of changed
-#: entries below which rounds end.
-TABLES, ROUNDS, SETTLED = 6, 3, 0.02
+#: Hyperplane tables per start at least and at most, rounds per start, and a group's
+#: share of changed entries below which rounds end.
+TABLES, MOST_TABLES, ROUNDS, SETTLED = 6, 512, 3, 0.02
 #: Members of a bucket on average.
 BUCKET = 12
-#: The audit: at most this many vectors, the recall asked for, restarts at most.
-AUDIT, RECALL, RESTARTS = 400, 0.98, 3
+#: The audits: at most this many vectors each, the recall asked for, failures at most.
+AUDIT, RECALL, RESTARTS = 2000, 0.98, 8
 #: Vectors compared at a time within a component or a group.
 TILE = 1024
 
@@ -123,19 +125,29 @@ def between_components(lists: DataFrame, units: DataFrame) -> DataFrame:
     return apart.select("v", "u", "sim")
 
 
-def bucket_groups(units: DataFrame, lists: DataFrame | None, n: int, dims: int, seed: int) -> DataFrame:
-    """Groups by the signs of random projections, TABLES of them."""
-    bits = max(1, int(np.ceil(np.log2(max(2, n / BUCKET)))))
-    planes = np.random.default_rng(seed).standard_normal((dims, TABLES * bits)).astype("f4")
+def bucket_bits(n: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, n / BUCKET)))))
+
+
+def tables_for(n: int, threshold: float) -> int:
+    """Tables of which one at least holds a pair at the threshold together, with probability RECALL."""
+    together = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bucket_bits(n)
+    return TABLES if together == 1 else int(np.clip(np.ceil(np.log(1 - RECALL) / np.log1p(-together)), TABLES, MOST_TABLES))
+
+
+def bucket_groups(units: DataFrame, lists: DataFrame | None, n: int, dims: int, tables: int, seed: int) -> DataFrame:
+    """Groups by the signs of random projections, ``tables`` of them."""
+    bits = bucket_bits(n)
+    planes = np.random.default_rng(seed).standard_normal((dims, tables * bits)).astype("f4")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            sign = (_matrix(pdf["small"], "f2").astype("f4") @ planes > 0).reshape(len(pdf), TABLES, bits)
+            sign = (_matrix(pdf["small"], "f2").astype("f4") @ planes > 0).reshape(len(pdf), tables, bits)
             code = sign @ (1 << np.arange(bits, dtype="i8"))
-            for t in range(TABLES):
-                yield pd.DataFrame({"g": code[:, t] << 3 | t, "v": pdf["v"], "root": pdf["root"], "small": pdf["small"], "bar": pdf["bar"]})
+            for t in range(tables):
+                yield pd.DataFrame({"g": code[:, t] << 9 | t, "v": pdf["v"], "root": pdf["root"], "small": pdf["small"], "bar": pdf["bar"]})
 
     return with_bars(units, lists).mapInPandas(run, "g long, v long, root long, small binary, bar float")
 
@@ -195,22 +207,41 @@ def component_links(units: DataFrame, roots: DataFrame, threshold: float, parts:
 
 
 def audited_recall(units: DataFrame, roots: DataFrame, threshold: float) -> float:
-    """Share of the links of at most AUDIT vectors (found by comparing them with all) that lie within components."""
-    asked = units.select("v", "exact").orderBy(F.xxhash64("v"), "v").limit(AUDIT).collect()
-    if not asked:
-        return 1.0
-    ids, q = np.array([r.v for r in asked]), np.array([np.frombuffer(r.exact, "f8") for r in asked])
+    """The lesser recall of two audits: vectors in components larger than a list, and the others.
+
+    Each compares at most AUDIT vectors with all and averages, over those that have
+    links, the share of a vector's links that lie within its component.
+    """
+    large = roots.groupBy("root").count().where(F.col("count") > K).select("root", F.lit(True).alias("dense"))
+    here = rooted(units, roots).select("v", "root", "exact")
+    marked = here.join(large, "root", "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
+    least = 1.0
+    for dense in (False, True):
+        asked = marked.where(F.col("dense") == dense).orderBy(F.xxhash64("v"), "v").limit(AUDIT).select("v", "root", "exact").collect()
+        if asked:
+            least = min(least, _recall_of(here, asked, threshold))
+    return least
+
+
+def _recall_of(units: DataFrame, asked: list, threshold: float) -> float:
+    ids, own, q = np.array([r.v for r in asked]), np.array([r.root for r in asked]), np.array([np.frombuffer(r.exact, "f8") for r in asked])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, found = np.zeros(len(ids), "i8"), np.zeros(len(ids), "i8")
         for pdf in batches:
-            if len(pdf):
-                i, j = np.nonzero(_matrix(pdf["exact"], "f8") @ q.T >= threshold)
-                yield pd.DataFrame({"a": pdf["v"].to_numpy()[i], "b": ids[j]})
+            for k in range(0, len(pdf), TILE):
+                part = pdf.iloc[k : k + TILE]
+                i, j = np.nonzero(_matrix(part["exact"], "f8") @ q.T >= threshold)
+                apart = part["v"].to_numpy()[i] != ids[j]
+                n += np.bincount(j[apart], minlength=len(ids))
+                joined = apart & (part["root"].to_numpy()[i] == own[j])
+                found += np.bincount(j[joined], minlength=len(ids))
+        some = n > 0
+        yield pd.DataFrame({"v": ids[some], "n": n[some], "found": found[some]})
 
-    true = units.select("v", "exact").mapInPandas(run, "a long, b long").where("a <> b")
-    a, b = roots.toDF("a", "ra"), roots.toDF("b", "rb")
-    told = true.join(a, "a", "left").join(b, "b", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ra") == F.col("rb")).alias("found")).head()
-    return told.found / told.n if told.n else 1.0
+    counted = units.mapInPandas(run, "v long, n long, found long").groupBy("v").agg((F.sum("found") / F.sum("n")).alias("share"))
+    share = counted.agg(F.avg("share")).head()[0]
+    return 1.0 if share is None else share
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", num_partitions: int | None = None) -> DataFrame:
@@ -233,13 +264,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     units = cut(unit_vectors(keyed.where("vec IS NOT NULL").withColumn("id", F.nullif("id", F.lit(NULL_ID)))))
     n, lists, roots = units.count(), None, None
 
-    failed, start = 0, 0
+    failed, start, tables = 0, 0, tables_for(n, threshold)
     while n > 1:
         here = rooted(units, roots)
         if roots is not None:
             here = cut(here)
             lists = between_components(lists, here)
-        lists = cut(best_lists(propose(bucket_groups(here, lists, n, dims, seed=start), parts), lists))
+        lists = cut(best_lists(propose(bucket_groups(here, lists, n, dims, min(MOST_TABLES, tables << failed), seed=start), parts), lists))
         for _ in range(ROUNDS):
             lists = cut(best_lists(refine(here, lists, parts), lists))
             if lists.agg(F.avg("new")).head()[0] < SETTLED:
@@ -260,11 +291,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         roots, start = cut(connected_components(known)), start + 1
         if full:
             continue
-        if audited_recall(units, roots, threshold) >= RECALL:
+        recall = audited_recall(units, roots, threshold)
+        if recall >= RECALL:
             break
         failed += 1
         if failed == RESTARTS:
-            break
+            raise RuntimeError(f"found {recall:.3f} of the links per audited vector, below {RECALL}, after {start} starts")
 
     told = units.select("v", "copies", "first")
     if roots is not None:
