@@ -126,3 +126,39 @@ def test_components(spark):
             if a in root and b in root:
                 root[a] = root[b] = min(root[a], root[b])
     assert got == root
+
+
+def test_near_dedup_decides_by_shingles(spark):
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(5000)]
+    rows = []
+    for k in range(60):
+        base = draw.choices(words, k=9 if k % 3 == 2 else 200)
+        tail = {0: 24, 1: 33, 2: 1}[k % 3]  # similarity 0.77, 0.71, and 4 of 5 shingles
+        near = base[: len(base) - tail] + (draw.choices(words, k=tail) if tail > 1 else [])
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    rows += [(500, "x " * 50 + " ".join(words[:60])), (501, "x " * 900 + " ".join(words[:60]))]  # one set of shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    gone = {i for i, _ in rows if i % 2 and alike(i - 1, i)}
+    assert gone == {2 * k + 1 for k in range(2, 60, 3)} | {501}
+    kept = {r.doc_id for r in simhash.near_dedup(df).collect()}
+    assert not {i for i, _ in rows} - kept - gone and 501 not in kept
+
+
+def test_tiles_join_what_all_pairs_join(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 4)
+    draw = random.Random(8)
+    text = draw.choices("abcdefghijklmnopqrstuvwxyz", k=60)
+    rows = []
+    for k in range(30):
+        rows.append((1, k, " ".join(text)))
+        text[draw.randrange(60)] = f"w{k}"
+    got = simhash.verified_links(spark.createDataFrame(rows, "group long, text_key long, body string"), 5, 0.8, 4)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for *_, t in rows]
+    root = list(range(30))
+    for _ in range(30):
+        root = [min(root[j] for j in range(30) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(30)]
+    found = {r.node: r.root for r in connected_components(got).collect()}
+    assert [found.get(k, k) for k in range(30)] == root and len(set(root)) < 30

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,22 @@ def sample_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """
     chosen = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(n)
     return df.join(F.broadcast(chosen), id_col, "left_semi").limit(n)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Whole groups from batches sorted by ``key``."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        ks = pdf[key].to_numpy()
+        cuts = np.r_[0, np.flatnonzero(ks[1:] != ks[:-1]) + 1, len(ks)]
+        if held and held[-1][key].iloc[-1] != ks[0]:
+            yield pd.concat(held)
+            held = []
+        for a, b in zip(cuts[:-2], cuts[1:-1]):
+            yield pd.concat([*held, pdf.iloc[a:b]]) if held else pdf.iloc[a:b]
+            held = []
+        held.append(pdf.iloc[cuts[-2] :])
+    if held:
+        yield pd.concat(held)

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import NULL_ID, cut, partitions
+from tidegraph.llm.common import NULL_ID, cut, partitions, whole_groups
 from tidegraph.llm.components import connected_components
 
 #: Neighbours per vector, and how many a group may propose to a member per round.
@@ -42,25 +42,6 @@ AUDIT, RECALL, RESTARTS = 2000, 0.98, 8
 TILE = 1024
 
 
-def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Whole groups from batches sorted by ``key``."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        ks = pdf[key].to_numpy()
-        cuts = np.r_[0, np.flatnonzero(ks[1:] != ks[:-1]) + 1, len(ks)]
-        if held and held[-1][key].iloc[-1] != ks[0]:
-            yield pd.concat(held)
-            held = []
-        for a, b in zip(cuts[:-2], cuts[1:-1]):
-            yield pd.concat([*held, pdf.iloc[a:b]]) if held else pdf.iloc[a:b]
-            held = []
-        held.append(pdf.iloc[cuts[-2] :])
-    if held:
-        yield pd.concat(held)
-
-
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """(v, copies, first, small, exact) per distinct usable vector, scaled to length 1.
 
@@ -87,7 +68,7 @@ def propose(groups: DataFrame, num_partitions: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, n = [], 0
-        for pdf in _groups(batches, "g"):
+        for pdf in whole_groups(batches, "g"):
             m = len(pdf)
             if m < 2:
                 continue
@@ -190,7 +171,7 @@ def component_links(units: DataFrame, roots: DataFrame, threshold: float, parts:
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _groups(batches, "g"):
+        for pdf in whole_groups(batches, "g"):
             tile = pdf["tile"].to_numpy()
             lows, highs = (pdf[tile == tile.min()], pdf[tile == tile.max()])
             for a, b in [(lows, highs), (highs, lows)] if tile.min() != tile.max() else [(lows, lows)]:

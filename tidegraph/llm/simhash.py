@@ -10,6 +10,9 @@ covering radius plus that many bits, and pairs are compared in full per anchor.
 
 Equal fingerprints are folded before anything is replicated, and an anchor emits
 only links that join parts not yet joined there, never all pairs of a dense group.
+
+Near-dedup takes the groups so found as candidates only: inside each, the shingle sets
+are compared, tile by tile, and texts are linked by their Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import NULL_ID, body, cut, partitions
+from tidegraph.llm.common import NULL_ID, body, cut, partitions, whole_groups
 from tidegraph.llm.components import connected_components
 
 SEED = 42
@@ -33,6 +36,10 @@ GOLAY = 0b101011100011
 #: Anchors with up to this many fingerprints are compared together, by shifting.
 SMALL = 48
 _CHUNK = 1 << 15
+#: Texts compared at a time within a group, and shingles at a time.
+TILE, _COLUMNS = 256, 4096
+#: Candidates of near_dedup: 64 of 256 bits is the difference expected at a similarity of 0.55.
+CANDIDATES = dict(width=4, most=64, blocks=32, block_bits=23)
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -62,23 +69,24 @@ def remix(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def fingerprint(text: str, words: int = 3, width: int = 1) -> list[int]:
-    """``width`` 64-bit integers; zeros where the text has no word."""
+def fingerprint(text: str, words: int = 3, width: int = 1, once: bool = False) -> list[int]:
+    """``width`` 64-bit integers; zeros where the text has no word.  With ``once`` repeated shingles count once."""
     h = shingle_hashes(text, words)
+    h = np.unique(h) if once else h
     return [majority(remix(h, k)) if len(h) else 0 for k in range(width)]
 
 
-def fingerprints(docs: DataFrame, words: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, f0, f1, ...) per row, as signed 64-bit integers."""
+def fingerprints(docs: DataFrame, words: int, width: int, id_col: str = "doc_id", text_col: str = "text", once: bool = False) -> DataFrame:
+    """(doc_id, text_key, f0, f1, ...) per row, as signed 64-bit integers; ``text_key`` hashes the text."""
     names = [f"f{k}" for k in range(width)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = np.array([fingerprint(t, words, width) for t in pdf["body"]], "u8").reshape(-1, width).view("i8")
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{n: found[:, k] for k, n in enumerate(names)}})
+            found = np.array([fingerprint(t, words, width, once) for t in pdf["body"]], "u8").reshape(-1, width).view("i8")
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], **{n: found[:, k] for k, n in enumerate(names)}})
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), body(text_col).alias("body"))
-    return rows.mapInPandas(run, ", ".join(f"{n} long" for n in ["doc_id", *names]))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), body(text_col).alias("body"), F.xxhash64(body(text_col)).alias("text_key"))
+    return rows.mapInPandas(run, ", ".join(f"{n} long" for n in ["doc_id", "text_key", *names]))
 
 
 @lru_cache(1)
@@ -242,8 +250,9 @@ def near_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     num_partitions: int | None = None,
+    once: bool = False,
 ) -> DataFrame:
-    """doc_id, f0.., component_id (the smallest doc_id reachable over links) per row.
+    """doc_id, text_key, f0.., component_id (the smallest doc_id reachable over links) per row.
 
     The defaults suit a Jaccard similarity of 0.8 or more between sets of five-word
     shingles: 45 of 256 bits is the difference expected at about 0.76.  For an exact
@@ -255,19 +264,89 @@ def near_groups(
     gives no rows.  Other columns of ``docs`` are ignored.
     """
     names = [f"f{k}" for k in range(width)]
-    marks = cut(fingerprints(docs, words, width, id_col, text_col))
+    marks = cut(fingerprints(docs, words, width, id_col, text_col, once))
     nodes = marks.groupBy(*names).agg(F.min(F.nullif("doc_id", F.lit(NULL_ID))).alias("first"))
     nodes = nodes.withColumn("node", F.col("f0") if width == 1 else F.xxhash64(*names))
     roots = connected_components(near_pairs(nodes, width, most, blocks, block_bits, num_partitions))
     rooted = nodes.join(roots, "node", "left").select(*names, "first", F.coalesce("root", "node").alias("root"))
     groups = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(*names, "component_id")
-    return marks.join(groups, names).select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), *names, "component_id")
+    return marks.join(groups, names).select(F.nullif("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text_key", *names, "component_id")
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets (each sorted, none empty) have at least this Jaccard similarity."""
+    size = np.array([len(x) for x in sets])
+    _, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), size), met[column] > 1
+    row, column = row[shared], (np.cumsum(met > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)))
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + _COLUMNS])
+        held = np.zeros((len(sets), _COLUMNS), "f4")
+        held[row[lo:hi], column[lo:hi] - a] = 1
+        both += held @ held.T
+    return both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+
+
+def verified_links(texts: DataFrame, words: int, similarity: float, num_partitions: int) -> DataFrame:
+    """Links (a, b) that join what pairs of one group with alike shingle sets join; texts: group, text_key, body.
+
+    Groups are compared by pairs of tiles; each gives at most as many links as it has texts.
+    """
+    sizes = texts.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tiled = texts.join(sizes, "group").withColumn("tile", F.pmod(F.xxhash64("text_key", F.lit(7)), F.col("tiles")).cast("int"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in pdf["body"]]
+            yield pd.DataFrame({"group": pdf["group"], "text_key": pdf["text_key"], "tile": pdf["tile"], "tiles": pdf["tiles"], "shingles": [(x if len(x) else np.zeros(1, "u8")).tobytes() for x in sets]})
+
+    cells = tiled.select("group", "text_key", "tile", "tiles", "body").mapInPandas(hashed, "group long, text_key long, tile int, tiles int, shingles binary")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
+    sent = cells.select("group", "text_key", "tile", "shingles", other).select(
+        F.xxhash64("group", F.least("tile", "other"), F.greatest("tile", "other")).alias("g"), "text_key", "shingles"
+    )
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "g"):
+            if len(pdf) < 2:
+                continue
+            close = similar([np.frombuffer(x, "u8") for x in pdf["shingles"]], similarity)
+            key, label = pdf["text_key"].to_numpy(), np.arange(len(pdf))
+            left, right = [], []
+            for i in np.flatnonzero(close.sum(axis=1) > 1):
+                hit = np.flatnonzero(close[i])
+                met, at = np.unique(label[hit], return_index=True)
+                if len(met) > 1:
+                    left.append(np.full(len(met), key[i]))
+                    right.append(key[hit[at]])
+                    label[np.isin(label, met)] = met[0]
+            if left:
+                yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+    return sent.repartition(num_partitions, "g").sortWithinPartitions("g").mapInPandas(compare, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, num_partitions: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without those that another of their group stands for.
 
-    The smallest identifier of a group stays; rows with a null identifier stay.
+    Groups are joined by pairs of texts whose sets of ``words``-word shingles have this
+    Jaccard similarity or more; texts without words are alike.  The smallest identifier
+    of a group stays; rows with a null identifier stay.
     """
-    gone = near_groups(docs, id_col=id_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    parts = num_partitions or partitions(docs.sparkSession)
+    marks = near_groups(docs, words, id_col=id_col, text_col=text_col, num_partitions=num_partitions, once=True, **CANDIDATES)
+    marks = cut(marks.select("doc_id", "text_key", F.col("component_id").alias("group")).where("group IS NOT NULL"))
+    keys = marks.groupBy("group", "text_key").agg(F.min("doc_id").alias("first"))
+    many = keys.groupBy("group").count().where(F.col("count") > 1).select("group")
+    crowded = cut(keys.join(many, "group").select("group", "text_key"))
+    known = docs.select(F.xxhash64(body(text_col)).alias("text_key"), body(text_col).alias("body"))
+    texts = known.join(crowded, "text_key").groupBy("group", "text_key").agg(F.first("body").alias("body"))
+    roots = connected_components(verified_links(texts, words, similarity, parts))
+    firsts = keys.groupBy("text_key").agg(F.min("first").alias("first")).join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
+    firsts = firsts.withColumn("root", F.coalesce("root", "text_key"))
+    least = firsts.join(firsts.groupBy("root").agg(F.min("first").alias("keep")), "root").select("text_key", "keep")
+    gone = marks.join(least, "text_key").where("doc_id <> keep").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")
