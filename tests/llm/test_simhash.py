@@ -162,3 +162,18 @@ def test_tiles_join_what_all_pairs_join(spark, monkeypatch):
         root = [min(root[j] for j in range(30) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(30)]
     found = {r.node: r.root for r in connected_components(got).collect()}
     assert [found.get(k, k) for k in range(30)] == root and len(set(root)) < 30
+
+
+@pytest.mark.parametrize("shared, added, least", [(4, 1, 0.97), (8, 2, 0.995), (200, 50, 0.995)])
+def test_candidates_hold_nearly_all_pairs_at_the_similarity(shared, added, least):
+    draw = np.random.default_rng(7)
+    n, sides = 1000, ([], [])
+    for _ in range(n):
+        h = draw.integers(0, 2**64, shared + added, "u8")
+        for side, own in zip(sides, (h[: shared + added // 2], np.r_[h[:shared], h[shared + added // 2 :]])):
+            side.append([simhash.majority(simhash.remix(own, k)) for k in range(4)])
+    x, y = (np.array(s, "u8") for s in sides)
+    plan = simhash.blocks_of(4, simhash.CANDIDATES["blocks"], simhash.CANDIDATES["block_bits"])
+    (_, a), (_, b) = (simhash.anchors(s, plan, 0) for s in (x, y))
+    meet = (a.reshape(len(plan), n) == b.reshape(len(plan), n)).any(axis=0)
+    assert (meet & (simhash.differing(x, y) <= simhash.CANDIDATES["most"])).mean() >= least
