@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from tidegraph.types import LoweringError, common, widened
 
-ID, KEY, LABEL, TS = "@id", "@key", "@label", "@ts"
+ID, KEY, LABEL, TS, SEQ, LIVE = "@id", "@key", "@label", "@ts", "@seq", "@live"
 
 
 def quoted(name: str) -> Column:
@@ -40,7 +40,10 @@ class _Opened:
 class NodeTable(_Opened):
     """Elements of a label.  ``effective_from``: column with milliseconds or a timestamp.
 
-    ``history`` tables hold all versions of their elements; others the current one.
+    ``history`` tables hold all versions of their elements, and queries over them give a
+    row per version; others hold the current one, and ``versions`` (same columns) may
+    hold them all beside it.  ``id`` is the identifier shown where it is not the key,
+    ``seq`` orders changes of one time, ``live`` tells a current version from others.
     """
 
     label: str
@@ -48,6 +51,19 @@ class NodeTable(_Opened):
     key: str
     effective_from: str | None = None
     history: bool = False
+    versions: Table | None = None
+    id: str | None = None
+    seq: str | None = None
+    live: str | None = None
+
+    @property
+    def hidden(self) -> set[str]:
+        """Columns that are no properties."""
+        return {c for c in (self.id and self.key, self.seq, self.live) if c}
+
+    def past(self) -> NodeTable:
+        """The table of all versions, as one with history."""
+        return replace(self, source=self.versions if self.versions is not None else self.source, history=True, versions=None)
 
 
 @dataclass(frozen=True)
@@ -62,6 +78,8 @@ class RelationTable(_Opened):
     end: str
     key: str | None = None
     effective_from: str | None = None
+    seq: str | None = None
+    live: str | None = None
 
 
 @dataclass(frozen=True)
@@ -80,6 +98,8 @@ class Slot:
     labels: tuple[str, ...]
     props: dict[str, T.DataType]
     history: bool = False
+    #: Whether all versions are at hand beside the current ones.
+    versions: bool = False
 
     def col(self, prop: str) -> Column:
         return quoted(f"{self.alias}.{prop}")
@@ -103,12 +123,12 @@ class Graph:
     relations: dict[str, list[RelationTable]] = field(default_factory=dict)
     joins: dict[str, PropertyJoin] = field(default_factory=dict)
 
-    def add_nodes(self, label: str, df: Table, key: str, effective_from: str | None = None, history: bool = False) -> Graph:
-        self.nodes[label] = NodeTable(label, df, key, effective_from, history)
+    def add_nodes(self, label: str, df: Table, key: str, effective_from: str | None = None, history: bool = False, **more) -> Graph:
+        self.nodes[label] = NodeTable(label, df, key, effective_from, history, **more)
         return self
 
-    def add_relations(self, label: str, df: Table, start: tuple[str, str], end: tuple[str, str], key: str | None = None, effective_from: str | None = None) -> Graph:
-        self.relations.setdefault(label, []).append(RelationTable(label, df, *start, *end, key, effective_from))
+    def add_relations(self, label: str, df: Table, start: tuple[str, str], end: tuple[str, str], key: str | None = None, effective_from: str | None = None, **more) -> Graph:
+        self.relations.setdefault(label, []).append(RelationTable(label, df, *start, *end, key, effective_from, **more))
         return self
 
     def add_join(self, id: str, *keys: tuple[str, str]) -> Graph:
@@ -119,14 +139,14 @@ class Graph:
         """Properties and their types by node label."""
         return {label: {f.name: f.dataType.simpleString() for f in t.df.schema} for label, t in self.nodes.items()}
 
-    def node_slot(self, alias: str, labels: tuple[str, ...]) -> tuple[Slot, DataFrame]:
-        """The nodes with any of the labels (all nodes if none is given)."""
+    def node_slot(self, alias: str, labels: tuple[str, ...], past: bool = False) -> tuple[Slot, DataFrame]:
+        """The nodes with any of the labels (all nodes if none is given); with ``past`` all their versions."""
         wanted = labels or tuple(self.nodes)
         if missing := [x for x in wanted if x not in self.nodes]:
             raise LoweringError(f"no nodes with label {', '.join(missing)}")
-        tables = [self.nodes[x] for x in wanted]
+        tables = [self.nodes[x].past() if past else self.nodes[x] for x in wanted]
         props: dict[str, T.DataType] = {}
-        for name in dict.fromkeys(f.name for t in tables for f in t.df.schema):
+        for name in dict.fromkeys(f.name for t in tables for f in t.df.schema if f.name not in t.hidden):
             props[name] = common([widened(t.df.schema[name].dataType) for t in tables if name in t.df.columns])
         keys = {t.df.schema[t.key].dataType.simpleString() for t in tables}
         parts = []
@@ -136,21 +156,24 @@ class Graph:
             parts.append(
                 t.df.select(
                     key.alias(f"{alias}.{KEY}"),
-                    quoted(t.key).cast("string").alias(f"{alias}.{ID}"),
+                    quoted(t.id or t.key).cast("string").alias(f"{alias}.{ID}"),
                     F.lit(t.label).alias(f"{alias}.{LABEL}"),
                     _millis(t.df, t.effective_from).alias(f"{alias}.{TS}"),
+                    (quoted(t.seq).cast("long") if t.seq else F.lit(0).cast("long")).alias(f"{alias}.{SEQ}"),
+                    (quoted(t.live) if t.live else F.lit(True)).alias(f"{alias}.{LIVE}"),
                     *[c.alias(f"{alias}.{p}") for p, c in zip(props, own)],
                 )
             )
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return Slot(alias, wanted, props, any(t.history for t in tables)), df
+        history, versions = any(t.history for t in tables), all(t.history or t.versions is not None for t in tables)
+        return Slot(alias, wanted, props, history, versions), df
 
     def relation_rows(self, alias: str, tables: list[RelationTable], direction: str) -> tuple[Slot, DataFrame]:
         """Rows of relations with ``@from`` the left end and ``@to`` the right end of the pattern."""
         props: dict[str, T.DataType] = {}
-        for name in dict.fromkeys(f.name for t in tables for f in t.df.schema):
+        for name in dict.fromkeys(f.name for t in tables for f in t.df.schema if f.name not in (t.seq, t.live)):
             props[name] = common([widened(t.df.schema[name].dataType) for t in tables if name in t.df.columns])
         parts = []
         for t in tables:
@@ -165,6 +188,8 @@ class Graph:
                     rows.select(
                         id_.alias(f"{alias}.{ID}"),
                         _millis(t.df, t.effective_from).alias(f"{alias}.{TS}"),
+                        (quoted(t.seq).cast("long") if t.seq else F.lit(0).cast("long")).alias(f"{alias}.{SEQ}"),
+                        (quoted(t.live) if t.live else F.lit(True)).alias(f"{alias}.{LIVE}"),
                         quoted(a).alias(f"{alias}.@from"),
                         F.lit(a_label).alias(f"{alias}.@from_label"),
                         quoted(b).alias(f"{alias}.@to"),
@@ -175,4 +200,4 @@ class Graph:
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return Slot(alias, tuple(t.label for t in tables), props), df
+        return Slot(alias, tuple(t.label for t in tables), props, any(t.live for t in tables)), df

@@ -7,19 +7,21 @@ between nulls; inequality and order are false for null, and text has no order.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.ast import Binary, Call, Case, Comprehension, Expr, Index, Lit, ListOf, MapOf, Param, Prop, Reduce, Ref, Slice, Unary
+from tidegraph.ast import Binary, Call, Case, Comprehension, Expr, Index, Lit, ListOf, MapOf, Param, Prop, Reduce, Ref, Slice, Unary, children
 from tidegraph.functions import FUNCTIONS, Registry
 from tidegraph.functions.registry import need
 from tidegraph.functions.temporal import add_durations, epoch_millis, length_nanos, shift, temporal_field
 from tidegraph.functions.text import shown
-from tidegraph.graph import ID, LABEL, TS, Slot
-from tidegraph.parser.grammar import base_name, is_aggregate
+from tidegraph.graph import ID, LABEL, LIVE, SEQ, TS, Slot
+from tidegraph.parser.grammar import base_name, has_aggregate, is_aggregate
 from tidegraph.types import (
     BOOL,
     DATE,
@@ -68,6 +70,11 @@ class Lowering:
     add_column: object = None
     guarded: bool = True
     expiry: Column | None = None
+    #: When the group that an aggregate in a filter is folded over last changed, and the key of that group.
+    group_at: Column | None = None
+    group_key: Column | None = None
+    #: Whether the aggregate being folded keeps values that have been replaced or deleted.
+    retained: bool = False
 
     @property
     def wall(self) -> Column:
@@ -86,6 +93,16 @@ class Lowering:
         times = [F.coalesce(s.col(TS), F.lit(0)) for s in self.scope.slots.values()]
         return F.greatest(*times) if len(times) > 1 else times[0] if times else F.unix_millis(self.now)
 
+    def order(self) -> Column:
+        """Changes in order: by time, then by their number."""
+        stamps = [F.struct(F.coalesce(s.col(TS), F.lit(0)).alias("ts"), F.coalesce(s.col(SEQ), F.lit(0)).alias("seq")) for s in self.scope.slots.values()]
+        return F.greatest(*stamps) if len(stamps) > 1 else stamps[0] if stamps else F.struct(F.unix_millis(self.now).alias("ts"), F.lit(0).cast("long").alias("seq"))
+
+    def live(self) -> Column | None:
+        """Whether all of a row's elements are current, where versions are matched; else None."""
+        past = [F.coalesce(s.col(LIVE), F.lit(True)) for s in self.scope.slots.values() if s.history]
+        return reduce(and_, past) if past else None
+
     # -- entry points
     def value(self, e: Expr) -> Typed:
         if e in self.aggregated:
@@ -294,7 +311,7 @@ class Lowering:
     # -- lists
     def inner(self, **names: Typed) -> Lowering:
         scope = Scope(self.scope.slots, self.scope.values | names)
-        return Lowering(scope, self.now, self.registry, self.params, self.aggregated, [], self.add_column, False, self.expiry)
+        return replace(self, scope=scope, guards=[], guarded=False)
 
     def source(self, e: Expr) -> Typed:
         x = self.value(e)
@@ -394,9 +411,30 @@ class Lowering:
         return Typed(F.when(~self.predicate(condition), False).when(self.due(at), True), BOOL)
 
     def fn_trueFor(self, condition: Expr, span: Expr) -> Typed:
-        since = self.changed_at()
+        """True once the condition has held for the span; the span starts with the change that made it true."""
+        holds = self.predicate(condition)
+        since = self.since(condition, holds)
         ends = since + F.floor(length_nanos(self.value(span)) / 1_000_000).cast("long")
-        return Typed(F.when(~self.predicate(condition), False).when(ends <= self.now_ms(), True), BOOL)
+        return Typed(F.when(~holds, False).when(ends <= self.now_ms(), True), BOOL)
+
+    def since(self, condition: Expr, holds: Column) -> Column:
+        folded = has_aggregate(condition) and self.group_at is not None
+        at = self.group_at if folded else self.changed_at()
+        if self.add_column.keeps:
+            # state: since when the condition has held, for the rows (or groups) for which it does
+            before = self.add_column.before("since long", self.group_key if folded else None)
+            found = self.add_column(F.when(holds, F.coalesce(before["since"], at)))
+            self.add_column.keep(before, found.isNotNull(), since=found)
+            return found
+        if (slot := self.one_slot(condition)) is not None and slot.versions and not slot.history:
+            return F.coalesce(self.add_column.from_versions(slot, lambda low, keys: _held_since(low, condition, keys)), at)
+        return at
+
+    def one_slot(self, e: Expr) -> Slot | None:
+        """The only element an expression reads, if it reads nothing else."""
+        names = set() if has_aggregate(e) else read_names(e)
+        slots = [self.scope.slots[n] for n in names if n in self.scope.slots]
+        return slots[0] if len(slots) == 1 and len(names) == 1 else None
 
     def fn_future(self, e: Expr, at: Expr) -> Typed:
         x = self.element(self.value(e))
@@ -405,49 +443,82 @@ class Lowering:
     # earlier values of a row
     def row_window(self):
         slots = list(self.scope.slots.values())
-        need(bool(slots) and any(s.history for s in slots), "an earlier value", "a label registered with its history")
-        return Window.partitionBy(*[s.col(ID) for s in slots]).orderBy(*[s.col(TS) for s in slots])
+        need(bool(slots) and any(s.history for s in slots), "an earlier value", "a label registered with its versions, or a stream")
+        return Window.partitionBy(*[s.col(ID) for s in slots]).orderBy(*[c for s in slots for c in (s.col(TS), s.col(SEQ))])
 
-    def fn_previousValue(self, e: Expr, default: Expr | None = None) -> Typed:
+    def earlier(self, e: Expr, default: Expr | None, distinct: bool) -> Typed:
         x = self.value(e)
         other = self.value(default).literal if default is not None else None
-        lagged = F.lag(x.col, 1).over(self.row_window())
-        first = F.row_number().over(self.row_window()) == 1
-        return Typed(F.when(first, F.lit(other).cast(x.type)).otherwise(lagged) if other is not None else lagged, x.type)
+        other = F.lit(other).cast(x.type)
+        if self.add_column.keeps:
+            # state: the value of each row, the one before it, and the change that brought it
+            kind = x.type.simpleString()
+            before = self.add_column.before(f"now {kind}, earlier {kind}, ts long, seq long")
+            order = self.order()
+            known = before["ts"].isNotNull()
+            if distinct:
+                found = F.when(~known, other).when(~before["now"].eqNullSafe(x.col), before["now"]).otherwise(before["earlier"])
+            else:
+                again = (order["ts"] != before["ts"]) | (order["seq"] != before["seq"]) | ~before["now"].eqNullSafe(x.col)
+                found = F.when(~known, other).when(again, before["now"]).otherwise(before["earlier"])
+            found = self.add_column(found)
+            self.add_column.keep(before, F.lit(True), now=x.col, earlier=found, ts=order["ts"], seq=order["seq"])
+            return Typed(found, x.type)
+        if (slot := self.one_slot(e)) is not None and slot.versions and not slot.history:
+            found = self.add_column.from_versions(slot, lambda low, keys: _one_before(low, e, keys, distinct))
+            return Typed(F.coalesce(found, other), x.type)
+        w = self.row_window()
+        if not distinct:
+            return Typed(F.when(F.row_number().over(w) == 1, other).otherwise(F.lag(x.col, 1).over(w)), x.type)
+        last = self.add_column(F.lag(x.col, 1).over(w))
+        changed = self.add_column(F.when(~last.eqNullSafe(x.col) & last.isNotNull(), last))
+        return Typed(F.coalesce(F.last(changed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), other), x.type)
+
+    def fn_previousValue(self, e: Expr, default: Expr | None = None) -> Typed:
+        return self.earlier(e, default, False)
 
     def fn_previousDistinctValue(self, e: Expr, default: Expr | None = None) -> Typed:
-        x, w = self.value(e), self.row_window()
-        other = self.value(default).literal if default is not None else None
-        before = self.add_column(F.lag(x.col, 1).over(w))
-        changed = self.add_column(F.when(~before.eqNullSafe(x.col) & before.isNotNull(), before))
-        found = F.last(changed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return Typed(F.coalesce(found, F.lit(other).cast(x.type)) if other is not None else found, x.type)
+        return self.earlier(e, default, True)
+
+    def instant(self, e: Expr) -> tuple[Column, bool]:
+        """Milliseconds of an instant, and whether it is the same for all rows."""
+        return epoch_millis(self.value(e)), not read_names(e)
 
     def fn_getVersionByTimestamp(self, e: Expr, at: Expr) -> Typed:
         slot = self.slot_of(e, "getVersionByTimestamp")
+        when, fixed = self.instant(at)
+        if fixed:  # the last version of each element is found before anything is joined
+            return self.add_column.version_at(slot, when)
         versions = self.add_column.versions(slot)
-        when = epoch_millis(self.value(at))
         known = F.filter(versions.col, lambda v: v["@ts"] <= when)
         return Typed(F.try_element_at(known, F.lit(-1)), versions.type.elementType)
 
     def fn_getVersionsByTimeRange(self, e: Expr, start: Expr, end: Expr, initial: Expr | None = None) -> Typed:
         slot = self.slot_of(e, "getVersionsByTimeRange")
-        versions = self.add_column.versions(slot)
-        a, b = epoch_millis(self.value(start)), epoch_millis(self.value(end))
+        (a, a_fixed), (b, b_fixed) = self.instant(start), self.instant(end)
+        wanted = initial is not None and self.value(initial).literal is True
+        # only versions of the range are gathered where it is the same for all rows
+        versions = self.add_column.versions(slot, (a, b) if a_fixed and b_fixed else None)
         found = F.filter(versions.col, lambda v: (v["@ts"] >= a) & (v["@ts"] <= b))
-        if initial is not None and self.value(initial).literal is True:
-            before = F.filter(versions.col, lambda v: v["@ts"] <= a)
-            first = F.slice(before, -1, 1)
+        if wanted:
+            if a_fixed and b_fixed:
+                first = self.add_column.version_at(slot, a).col
+                first = F.when(first.isNotNull(), F.array(first)).otherwise(F.array().cast(versions.type))
+            else:
+                first = F.slice(F.filter(versions.col, lambda v: v["@ts"] <= a), -1, 1)
             has = F.exists(found, lambda v: v["@ts"] == a)
-            found = F.when((F.size(before) > 0) & ~has, F.concat(first, found)).otherwise(found)
-        return Typed(found, versions.type)
+            found = F.when((F.size(first) > 0) & ~has, F.concat(first, found)).otherwise(found)
+        return Typed(F.coalesce(found, F.array().cast(versions.type)), versions.type)
 
     # -- aggregates
     def aggregate(self, e: Call) -> Typed:
         """The aggregate column of a call, for ``groupBy().agg``."""
         name = base_name(e.name)
         args = [self.value(a) for a in e.args]
-        live = (lambda c: c) if self.expiry is None else (lambda c: F.when(self.expiry, c))
+        # what is folded: rows of current elements unless history is retained, within the sliding window if there is one
+        current = None if self.retained else self.live()
+        wanted = [c for c in (current, self.expiry) if c is not None]
+        live = (lambda c: F.when(reduce(and_, wanted), c)) if wanted else (lambda c: c)
         if name == "count":
             need(len(args) == 1, "count", "one argument")
             return Typed(F.count(live(args[0].col)), LONG)
@@ -471,12 +542,35 @@ class Lowering:
             return Typed(by(live(x.col), length_nanos(x) if x.type == DURATION else epoch_nanos(x)), x.type)
         if name == "collect":
             x = self.element(args[0])
-            rows = F.collect_list(F.when(live(x.col).isNotNull(), F.struct(self.changed_at().alias("at"), x.col.alias("x"))))
+            rows = F.collect_list(F.when(live(x.col).isNotNull(), F.struct(self.order().alias("at"), x.col.alias("x"))))
             return Typed(F.transform(F.array_sort(rows, lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)), lambda r: r["x"]), T.ArrayType(x.type))
         if name == "linearGradient":
             x, y = (a.col.cast("double") if is_number(a.type) else epoch_millis(a).cast("double") for a in args)
             return Typed(F.regr_slope(live(y), live(x)), DOUBLE)
-        return Typed(F.max_by(live(args[0].col), F.struct(self.changed_at())), args[0].type)
+        at = self.order() if not wanted else F.when(reduce(and_, wanted), self.order())
+        return Typed(F.max_by(args[0].col, at), args[0].type)
+
+
+def read_names(e: Expr) -> set[str]:
+    """Names an expression reads."""
+    return {e.name} if isinstance(e, Ref) else set().union(*map(read_names, children(e)))
+
+
+def _held_since(low: Lowering, condition: Expr, keys: list[Column]) -> Column:
+    """Over an element's versions: the time of the first of those at its end for which a condition holds."""
+    holds, order = low.predicate(condition), low.order()
+    broken = F.max(F.when(~holds, order)).over(Window.partitionBy(*keys))
+    return F.min(F.when(holds & (broken.isNull() | (order > broken)), low.changed_at())).over(Window.partitionBy(*keys))
+
+
+def _one_before(low: Lowering, e: Expr, keys: list[Column], distinct: bool) -> Column:
+    """Over an element's versions: the value before the last one, or the last that differs from it."""
+    x, order = low.value(e).col, low.order()
+    own = Window.partitionBy(*keys)
+    if not distinct:
+        return F.lag(x, 1).over(own.orderBy(order))
+    now = F.max_by(x, order).over(own)
+    return F.max_by(F.when(~x.eqNullSafe(now), x), F.when(~x.eqNullSafe(now), order)).over(own)
 
 
 def equal(a: Typed, b: Typed) -> Column:

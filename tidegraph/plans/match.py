@@ -8,13 +8,15 @@ joined.  Patterns that do not connect are refused rather than multiplied.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 from itertools import count
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.ast import Binary, Expr, NodePattern, Path, Prop, Ref, RelationPattern
-from tidegraph.graph import KEY, LABEL, Graph, Slot
+from tidegraph.graph import ID, KEY, LABEL, LIVE, SEQ, TS, Graph, Slot
 from tidegraph.plans.expressions import Scope
 from tidegraph.types import LoweringError
 
@@ -62,7 +64,13 @@ class Matcher:
         for p in paths:
             if p.optional:
                 self.optional(p, wanted)
-        return self.df, {k: s for k, s in self.slots.items() if k in self.named}
+        named = {k: s for k, s in self.slots.items() if k in self.named}
+        unnamed = [s for k, s in self.slots.items() if k not in self.named and s.history]
+        if unnamed:  # elements without a name count for whether a row is current
+            alive = reduce(and_, [F.coalesce(s.col(LIVE), F.lit(True)) for s in unnamed])
+            more = {f"@alive.{LIVE}": alive, f"@alive.{ID}": F.lit(""), f"@alive.{TS}": F.lit(0).cast("long"), f"@alive.{SEQ}": F.lit(0).cast("long")}
+            self.df, named["@alive"] = self.df.withColumns(more), Slot("@alive", (), {}, True)
+        return self.df, named
 
     def labels_of(self, nodes: list[NodePattern]) -> dict[str, tuple[tuple[str, ...], tuple[Expr, ...]]]:
         """Labels and predicates of each alias, wherever in the pattern they are given."""
