@@ -366,6 +366,11 @@ class Lowering:
         name = base_name(e.name)
         if is_aggregate(e):
             raise LoweringError(f"{e.name} cannot be used here")
+        if name in self.registry.lazy:
+            return self.registry.lazy[name](self, *e.args)
+        if name in self.registry.mutating:
+            context, inner = self.registry.mutating[name](self, *e.args)
+            return context.value(inner)
         if (special := getattr(self, f"fn_{name}", None)) is not None:
             return special(*e.args)
         if name not in self.registry.known and e.name in self.registry.known:
@@ -519,6 +524,8 @@ class Lowering:
         current = None if self.retained else self.live()
         wanted = [c for c in (current, self.expiry) if c is not None]
         live = (lambda c: F.when(reduce(and_, wanted), c)) if wanted else (lambda c: c)
+        if name in self.registry.aggregating:
+            return self.registry.aggregating[name](self, args, live)
         if name == "count":
             need(len(args) == 1, "count", "one argument")
             return Typed(F.count(live(args[0].col)), LONG)

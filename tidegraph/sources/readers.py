@@ -41,9 +41,9 @@ def table_snapshot(df: DataFrame, label: str, key: str, source_id: str = "table"
     return as_changes(df, seq=F.monotonically_increasing_id(), op=F.lit("insert"), element_type=F.lit("node"), source_id=F.lit(source_id), element_id=F.col(key).cast("string"), labels=F.array(F.lit(label)), effective_from=at, properties=F.to_json(F.struct(*df.columns)))
 
 
-def json_folder(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Stream of change records, one JSON object a line, from files dropped into a folder."""
-    return spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", max_files).json(path)
+def json_folder(spark: SparkSession, path: str, max_files: int = 1000, recursive: bool = False) -> DataFrame:
+    """Stream of change records, one JSON object a line, from files dropped into a folder (or, if ``recursive``, below it)."""
+    return spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", str(recursive).lower()).json(path)
 
 
 def kafka_topic(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
