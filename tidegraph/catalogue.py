@@ -49,6 +49,7 @@ def test_graph(spark: SparkSession, sf_dir: str) -> Graph:
     g.add_join("PLACED_BY", ("Order", "o_custkey"), ("Customer", "c_custkey"))
     g.add_join("OF_ORDER", ("LineItem", "l_orderkey"), ("Order", "o_orderkey"))
     g.add_join("OF_PART", ("LineItem", "l_partkey"), ("Part", "p_partkey"))
+    g.add_join("SIZED_LIKE", ("Part", "p_partkey"), ("Part", "p_size"))
     g.add_join("LABELS", ("Label", "doc_id"), ("Document", "doc_id"))
     # orders as relations from customers to themselves' nation, with properties of their own
     g.add_relations("ORDERED", read("orders"), ("Customer", "o_custkey"), ("Customer", "o_custkey"), "o_orderkey", "o_orderdate")

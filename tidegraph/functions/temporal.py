@@ -7,6 +7,9 @@ show UTC fields.  Spark keeps microseconds.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from tidegraph.types import (
     Typed,
     duration,
     epoch_nanos,
+    floor_div,
     is_number,
 )
 
@@ -76,13 +80,13 @@ def offset_seconds(s: Column) -> Column:
 
 
 def ntz(date: Column, nanos: Column) -> Column:
-    micros = F.unix_date(date).cast("long") * 86_400_000_000 + F.floor(nanos / 1000).cast("long")
+    micros = F.unix_date(date).cast("long") * 86_400_000_000 + floor_div(nanos, 1000)
     return from_micros(micros)
 
 
 def from_micros(micros: Column) -> Column:
     """Local date and time that many microseconds after 1970, whatever the session's zone."""
-    day = F.floor(micros / 86_400_000_000).cast("int")
+    day = floor_div(micros, 86_400_000_000).cast("int")
     rest = micros - day.cast("long") * 86_400_000_000
     date = F.date_from_unix_date(day)
     sec = (rest % 60_000_000).cast("decimal(16,6)") / F.lit(1_000_000).cast("decimal(16,6)")
@@ -99,7 +103,7 @@ def iso_datetime(s: Column) -> Column:
     region = F.regexp_extract(s, r"\[(.+)\]$", 1)
     plain = F.regexp_replace(s, r"(?:Z|[+-]\d{2}(?::?\d{2})?)?(?:\[.+\])?$", "")
     bare = F.when(s.contains("T"), plain).otherwise(s)
-    micros = epoch_nanos(Typed(iso_local_datetime(bare), LOCAL_DATETIME)) / 1000
+    micros = floor_div(epoch_nanos(Typed(iso_local_datetime(bare), LOCAL_DATETIME)), 1000)
     shifted = F.timestamp_micros((micros - offset_seconds(F.when(s.contains("T"), time).otherwise(F.lit(""))) * 1_000_000).cast("long"))
     zoned = F.to_utc_timestamp(F.timestamp_micros(micros.cast("long")), region)
     return F.when((region != "") & ~s.rlike(r"[+-]\d{2}:?\d{0,2}\["), zoned).otherwise(shifted)
@@ -140,6 +144,26 @@ def _zone_offset(f: dict[str, Typed]) -> Column:
     return offset_seconds(f["timezone"].col) if "timezone" in f else F.lit(0).cast("long")
 
 
+_PLAIN = re.compile(r"\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})?)?")
+
+
+def _plain_literal(text: object, kind) -> Column | None:
+    """A literal text in the usual form as a literal: the expression that reads any text is large."""
+    if not isinstance(text, str) or not _PLAIN.fullmatch(text) or kind not in (DATE, DATETIME, LOCAL_DATETIME) or (kind == DATE) != (len(text) == 10):
+        return None
+    try:
+        at = dt.datetime.fromisoformat(text)
+    except ValueError:
+        return None
+    if kind == DATE:
+        return F.lit(at.date())
+    if kind == LOCAL_DATETIME and at.tzinfo is not None:
+        return None
+    since = at.replace(tzinfo=at.tzinfo or dt.timezone.utc) - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+    micros = F.lit(since // dt.timedelta(microseconds=1)).cast("long")
+    return F.timestamp_micros(micros) if kind == DATETIME else from_micros(micros)
+
+
 def _maker(names: tuple[str, ...], kind, now, from_text, from_fields, from_other) -> None:
     @FUNCTIONS.register(*names)
     def build(ctx, x: Typed | None = None) -> Typed:
@@ -148,7 +172,8 @@ def _maker(names: tuple[str, ...], kind, now, from_text, from_fields, from_other
         if x.fields:
             return Typed(from_fields(x.fields), kind)
         if x.type == STRING:
-            return Typed(from_text(x.col), kind)
+            known = _plain_literal(x.literal, kind)
+            return Typed(from_text(x.col) if known is None else known, kind)
         if x.type == kind:
             return x
         found = from_other(x)
@@ -181,7 +206,7 @@ def _date_from(x: Typed) -> Column | None:
 def _datetime_fields(f: dict[str, Typed]) -> Column:
     if (micros := _epoch_micros(f)) is not None:
         return F.timestamp_micros(micros)
-    local = F.unix_date(_date_of("datetime", f)).cast("long") * 86_400_000_000 + F.floor(_nanos_of(f) / 1000).cast("long")
+    local = F.unix_date(_date_of("datetime", f)).cast("long") * 86_400_000_000 + floor_div(_nanos_of(f), 1000)
     if "timezone" in f and not str(f["timezone"].literal or "").startswith(("+", "-", "Z")):
         return F.to_utc_timestamp(F.timestamp_micros(local), f["timezone"].col)
     return F.timestamp_micros(local - _zone_offset(f) * 1_000_000)
@@ -200,9 +225,9 @@ def _local_datetime_fields(f: dict[str, Typed]) -> Column:
 
 _maker(("date",), DATE, lambda w: F.date_from_unix_date(F.floor(_utc_micros(w) / 86_400_000_000).cast("int")), iso_date, _date_fields, _date_from)
 _maker(("localtime", "local_time"), LOCAL_TIME, lambda w: _struct_time(_day_nanos(_utc_micros(w))), lambda s: _struct_time(iso_nanos_of_day(s)), lambda f: _struct_time(_nanos_of(f)), lambda x: _struct_time(F.pmod(epoch_nanos(x), F.lit(DAY_NS))) if x.type in (LOCAL_DATETIME, DATETIME, ZONED_TIME) else None)
-_maker(("localdatetime", "local_datetime"), LOCAL_DATETIME, lambda w: from_micros(_utc_micros(w)), iso_local_datetime, _local_datetime_fields, lambda x: from_micros((epoch_nanos(x) / 1000).cast("long")) if x.type in (DATE, DATETIME) else None)
+_maker(("localdatetime", "local_datetime"), LOCAL_DATETIME, lambda w: from_micros(_utc_micros(w)), iso_local_datetime, _local_datetime_fields, lambda x: from_micros(floor_div(epoch_nanos(x), 1000)) if x.type in (DATE, DATETIME) else None)
 _maker(("time", "zoned_time"), ZONED_TIME, lambda w: _struct_zoned(_day_nanos(_utc_micros(w)), F.lit(0)), lambda s: _struct_zoned(iso_nanos_of_day(s), offset_seconds(s)), lambda f: _struct_zoned(_nanos_of(f), _zone_offset(f)), lambda x: _struct_zoned(F.pmod(epoch_nanos(x), F.lit(DAY_NS)), F.lit(0)) if x.type in (LOCAL_TIME, LOCAL_DATETIME, DATETIME) else None)
-_maker(("datetime", "zoned_datetime"), DATETIME, lambda w: w, iso_datetime, _datetime_fields, lambda x: F.timestamp_micros((epoch_nanos(x) / 1000).cast("long")) if x.type in (DATE, LOCAL_DATETIME) else None)
+_maker(("datetime", "zoned_datetime"), DATETIME, lambda w: w, iso_datetime, _datetime_fields, lambda x: F.timestamp_micros(floor_div(epoch_nanos(x), 1000)) if x.type in (DATE, LOCAL_DATETIME) else None)
 
 
 # -- clocks
@@ -273,7 +298,7 @@ def _truncate(kind: str) -> None:
             offset = x.col["offset_s"] if x.type == ZONED_TIME else F.lit(0)
             return Typed(_struct_time(n) if target == LOCAL_TIME else _struct_zoned(n, offset), target)
         nanos = epoch_nanos(x)
-        day = F.date_from_unix_date(F.floor(nanos / DAY_NS).cast("int"))
+        day = F.date_from_unix_date(floor_div(nanos, DAY_NS).cast("int"))
         rest = F.lit(0).cast("long")
         if name in _TIME_UNITS and name != "day":
             rest = F.pmod(nanos, F.lit(DAY_NS))
@@ -283,7 +308,7 @@ def _truncate(kind: str) -> None:
         day, rest = _override_date(day, f), rest + _nanos_of(f)
         if target == DATE:
             return Typed(day, DATE)
-        micros = F.unix_date(day).cast("long") * 86_400_000_000 + F.floor(rest / 1000).cast("long")
+        micros = F.unix_date(day).cast("long") * 86_400_000_000 + floor_div(rest, 1000)
         return Typed(F.timestamp_micros(micros) if target == DATETIME else from_micros(micros), target)
 
 
@@ -354,13 +379,13 @@ def in_months(ctx, a: Typed, b: Typed) -> Typed:
 @FUNCTIONS.register("duration.inDays")
 def in_days(ctx, a: Typed, b: Typed) -> Typed:
     _both("duration.inDays", a, b)
-    return duration(0, 0, (_line(a, b) / DAY_NS).cast("long") * DAY_NS)
+    return duration(0, 0, _line(a, b) - _line(a, b) % DAY_NS)
 
 
 @FUNCTIONS.register("duration.inSeconds")
 def in_seconds(ctx, a: Typed, b: Typed) -> Typed:
     _both("duration.inSeconds", a, b)
-    return duration(0, 0, (_line(a, b) / SECOND_NS).cast("long") * SECOND_NS)
+    return duration(0, 0, _line(a, b) - _line(a, b) % SECOND_NS)
 
 
 def length_nanos(x: Typed) -> Column:
@@ -373,7 +398,7 @@ def length_nanos(x: Typed) -> Column:
 
 def epoch_millis(x: Typed) -> Column:
     """An instant, or a number of milliseconds, as milliseconds since 1970."""
-    return x.col.cast("long") if is_number(x.type) else F.floor(epoch_nanos(x) / 1_000_000).cast("long")
+    return x.col.cast("long") if is_number(x.type) else floor_div(epoch_nanos(x), 1_000_000)
 
 
 # -- fields of temporal values
@@ -449,9 +474,9 @@ def shift(x: Typed, by: Typed, sign: int) -> Typed | None:
     if x.type == DATE:
         return Typed(F.date_add(x.col, (n / DAY_NS).cast("int")), DATE)
     if x.type == LOCAL_DATETIME:
-        return Typed(from_micros(F.floor((epoch_nanos(x) + n) / 1000).cast("long")), LOCAL_DATETIME)
+        return Typed(from_micros(floor_div(epoch_nanos(x) + n, 1000)), LOCAL_DATETIME)
     if x.type == DATETIME:
-        return Typed(F.timestamp_micros(F.unix_micros(x.col) + F.floor(n / 1000).cast("long")), DATETIME)
+        return Typed(F.timestamp_micros(F.unix_micros(x.col) + floor_div(n, 1000)), DATETIME)
     if x.type == LOCAL_TIME:
         return Typed(_struct_time(F.pmod(x.col["nanos_of_day"] + n, F.lit(DAY_NS))), LOCAL_TIME)
     if x.type == ZONED_TIME:

@@ -21,7 +21,7 @@ from tidegraph.parser import parse_cypher, parse_gql
 from tidegraph.parser.grammar import base_name, has_aggregate, is_aggregate
 from tidegraph.plans.expressions import Lowering, Scope
 from tidegraph.plans.match import match
-from tidegraph.types import LoweringError, Typed, widened
+from tidegraph.types import LoweringError, Typed, floor_div, widened
 
 
 def aggregate_calls(e: Expr) -> list[tuple[Call, Call | None]]:
@@ -136,7 +136,7 @@ class Compiler:
 
     def folded_typed(self, low: Lowering, call: Call, window: Call | None) -> Typed:
         if window is not None:
-            ends = low.changed_at() + F.floor(length_nanos(low.value(window.args[0])) / 1_000_000).cast("long")
+            ends = low.changed_at() + floor_div(length_nanos(low.value(window.args[0])), 1_000_000)
             low.expiry = low.now_ms() < ends
         low.retained = retains(call)
         try:

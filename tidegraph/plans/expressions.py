@@ -39,6 +39,7 @@ from tidegraph.types import (
     common,
     duration,
     epoch_nanos,
+    floor_div,
     is_list,
     is_null,
     is_number,
@@ -419,7 +420,7 @@ class Lowering:
         """True once the condition has held for the span; the span starts with the change that made it true."""
         holds = self.predicate(condition)
         since = self.since(condition, holds)
-        ends = since + F.floor(length_nanos(self.value(span)) / 1_000_000).cast("long")
+        ends = since + floor_div(length_nanos(self.value(span)), 1_000_000)
         return Typed(F.when(~holds, False).when(ends <= self.now_ms(), True), BOOL)
 
     def since(self, condition: Expr, holds: Column) -> Column:
@@ -487,7 +488,9 @@ class Lowering:
 
     def instant(self, e: Expr) -> tuple[Column, bool]:
         """Milliseconds of an instant, and whether it is the same for all rows."""
-        return epoch_millis(self.value(e)), not read_names(e)
+        fixed = not read_names(e)
+        at = epoch_millis(self.value(e))
+        return at if fixed else self.add_column(at), fixed
 
     def fn_getVersionByTimestamp(self, e: Expr, at: Expr) -> Typed:
         slot = self.slot_of(e, "getVersionByTimestamp")
@@ -504,16 +507,17 @@ class Lowering:
         wanted = initial is not None and self.value(initial).literal is True
         # only versions of the range are gathered where it is the same for all rows
         versions = self.add_column.versions(slot, (a, b) if a_fixed and b_fixed else None)
-        found = F.filter(versions.col, lambda v: (v["@ts"] >= a) & (v["@ts"] <= b))
+        none = F.array().cast(versions.type)
+        found = F.coalesce(F.filter(versions.col, lambda v: (v["@ts"] >= a) & (v["@ts"] <= b)), none)
         if wanted:
             if a_fixed and b_fixed:
                 first = self.add_column.version_at(slot, a).col
-                first = F.when(first.isNotNull(), F.array(first)).otherwise(F.array().cast(versions.type))
+                first = F.when(first.isNotNull(), F.array(first)).otherwise(none)
             else:
                 first = F.slice(F.filter(versions.col, lambda v: v["@ts"] <= a), -1, 1)
             has = F.exists(found, lambda v: v["@ts"] == a)
             found = F.when((F.size(first) > 0) & ~has, F.concat(first, found)).otherwise(found)
-        return Typed(F.coalesce(found, F.array().cast(versions.type)), versions.type)
+        return Typed(F.coalesce(found, none), versions.type)
 
     # -- aggregates
     def aggregate(self, e: Call) -> Typed:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,6 +121,15 @@ def epoch_nanos(x: Typed) -> Column:
     raise LoweringError(f"{x.type.simpleString()} is no instant")
 
 
+def floor_div(a: Column, b: int) -> Column:
+    """Whole part of a long over a positive integer, exactly: doubles would lose digits of nanoseconds.
+
+    The quotient of decimals has more digits than the divisor, so it never rounds up to
+    a whole number; the dividend is named once, which keeps nested expressions small.
+    """
+    return F.floor(a.cast("decimal(20,0)") / F.lit(Decimal(b))).cast("long")
+
+
 def duration(years: Column | int = 0, months: Column | int = 0, nanos: Column | int = 0) -> Typed:
     part = lambda x: (F.lit(x) if isinstance(x, int) else x).cast("long")
     return Typed(F.struct(part(years).alias("years"), part(months).alias("months"), part(nanos).alias("nanos")), DURATION)
