@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 
@@ -236,6 +237,29 @@ def test_server(spark, tmp_path):
         server.remove_source("s")
 
 
+def test_server_follows_the_clock(spark, tmp_path):
+    """A result that time alone changes reaches the reactions without a change and without a call."""
+    from tidegraph.server import Server
+
+    (tmp_path / "in").mkdir()
+    change = {"seq": 1, "source_id": "t", "element_type": "node", "op": "insert", "element_id": "r1", "labels": ["Tank"], "effective_from": 0, "properties": '{"name": "R", "temp": 50}'}
+    (tmp_path / "in" / "a.json").write_text(json.dumps(change))
+    now, got = [59], []
+    q = ContinuousQuery("MATCH (r:Tank) WHERE x.trueFor(r.temp > 10, 60000) RETURN r.name AS name", TANKS)
+    server = Server(spark, str(tmp_path / "state")).add_source("s", json_folder(spark, str(tmp_path / "in")))
+    server.add_query("q", q, "s").add_reaction("m", "q", memory_sink(got))
+    server.start("q", clock=lambda: dt.datetime.fromtimestamp(now[0], dt.timezone.utc), tick_every=0.2)
+    server.queries["q"].stream.awaitTermination(120)
+    assert got == []
+    now[0] = 60
+    for _ in range(600):
+        if got:
+            break
+        time.sleep(0.1)
+    server.stop("q")
+    assert [(r.op, r.after.name) for _, r in got] == [("add", "R")]
+
+
 def test_ticks_between_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     change = {"seq": 1, "source_id": "t", "element_type": "node", "op": "insert", "element_id": "r1", "labels": ["Tank"], "effective_from": 0, "properties": '{"name": "R", "temp": 50}'}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,6 +21,7 @@ class _Query:
     reactions: dict[str, Callable[[DataFrame, int], None]] = field(default_factory=dict)
     stream: object = None
     state: str = ADDED
+    stopped: threading.Event = field(default_factory=threading.Event)
 
 
 class Server:
@@ -63,9 +66,14 @@ class Server:
             raise ValueError(f"{name} feeds {', '.join(users)}")
         del self.sources[name]
 
-    def start(self, name: str, **trigger) -> None:
-        """Start a query; it resumes after its last complete batch."""
-        q = self.queries[name]
+    def start(self, name: str, clock: Callable[[], dt.datetime] | None = None, tick_every: float | None = None, **trigger) -> None:
+        """Start a query; it resumes after its last complete batch.
+
+        The result of a query that looks at the clock is brought up to date every
+        ``tick_every`` seconds until it is stopped, whether changes come or not; what
+        that changes goes to its reactions.
+        """
+        q, clock = self.queries[name], clock or (lambda: dt.datetime.now(dt.timezone.utc))
         streams = [self.sources[s] for s in q.sources]
         changes = streams[0][0]
         for more, _ in streams[1:]:
@@ -81,11 +89,23 @@ class Server:
                 sink(diff, number)
             diff.unpersist()
 
-        q.stream = q.query.start(changes, f"{self.folder}/{name}", react, bootstrap, **trigger)
+        place = f"{self.folder}/{name}"
+        q.stream = q.query.start(changes, place, react, bootstrap, clock, **trigger)
         q.state = RUNNING
+        q.stopped.set()  # a ticker of an earlier start
+        q.stopped = stopped = threading.Event()
+
+        def follow() -> None:
+            while not stopped.wait(tick_every):
+                if q.query.results(self.spark, place) is not None:
+                    q.query.tick(self.spark, place, clock, react)
+
+        if tick_every is not None and q.query.timed():
+            threading.Thread(target=follow, daemon=True).start()
 
     def stop(self, name: str) -> None:
         q = self.queries[name]
+        q.stopped.set()
         if q.stream is not None:
             q.stream.stop()
             q.state = STOPPED
