@@ -83,6 +83,45 @@ def test_audit_counts_by_vector(spark):
     assert nv.audited_recall(units, linked, 0.95) == 0.5
 
 
+def test_vectors_of_every_length(spark):
+    """Any length is searched, not only the commonest; vectors of different lengths never link."""
+    draw = np.random.default_rng(6)
+    rows = [(k, draw.normal(size=8).tolist()) for k in range(50)]
+    for n in (1, 2, 3, 16):
+        base = draw.normal(size=n)
+        rows += [(len(rows) + k, (base + draw.normal(scale=0.001, size=n)).tolist()) for k in range(4)] + [(len(rows) + 4 + k, (base * 2).tolist()) for k in range(2)]
+    got = {r.vec_id: r for r in nv.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    assert len(got) == 74 and all(got[k].n_links == 5 and got[k].component_id == 50 + (k - 50) // 6 * 6 for k in range(50, 74))
+
+
+def test_saturated_lists_grow(spark, monkeypatch):
+    """A list with nothing below the threshold goes on past K entries; others stay at K."""
+    monkeypatch.setattr(nv, "K", 3)
+    draw = np.random.default_rng(8)
+    tight = draw.normal(size=32) + draw.normal(scale=0.01, size=(12, 32))
+    x = np.concatenate([tight, draw.normal(size=(30, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    units = spark.createDataFrame([(k, k, bytearray(v.astype("f2").tobytes())) for k, v in enumerate(x)], "v long, root long, small binary")
+    lists = None
+    for turn in range(4):
+        groups = nv.with_bars(units, lists, 0.95).withColumn("g", nv.F.lit(1).cast("long"))
+        lists = nv.cut(nv.best_lists(nv.propose(groups.select("g", "v", "root", "small", "bar"), 2), lists, 0.95))
+    sizes = {r.v: r["count"] for r in lists.groupBy("v").count().collect()}
+    bars = {r.v: r.bar for r in nv.with_bars(units, lists, 0.95).collect()}
+    assert all(sizes[k] >= 5 and bars[k] < 0.95 for k in range(12)) and all(sizes[k] == 3 and bars[k] < 0.9 for k in range(12, 42))
+
+
+def test_crowded_buckets_are_split(spark, monkeypatch):
+    monkeypatch.setattr(nv, "SPLIT", 8)
+    draw = np.random.default_rng(9)
+    x = np.concatenate([draw.normal(size=24) + draw.normal(scale=0.02, size=(150, 24)), draw.normal(size=(60, 24))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    audit = {}
+    got = {r.vec_id: r for r in nv.near_vectors(df, audit=audit).collect()}
+    assert all(got[k].n_links == 149 and got[k].component_id == 0 for k in range(150)) and all(got[k].n_links == 0 for k in range(150, 210))
+    assert audit["recall"] >= nv.RECALL and audit["starts"] >= 1
+
+
 def test_failed_audit_is_never_returned(spark, monkeypatch):
     monkeypatch.setattr(nv, "RESTARTS", 2)
     monkeypatch.setattr(nv, "audited_recall", lambda *a: 0.9)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,22 +26,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees (``spark.checkpoint.dir``).
 
-    Where the session names none (tests, notebooks) a local one is made and set,
-    so that ``checkpoint()`` works there too.
+    Where the session names none, a folder of this machine is made and set if Spark runs
+    in this process alone (tests, notebooks), so that ``checkpoint()`` works there too;
+    on a cluster that would lose data, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidegraph-")
         spark.sparkContext.setCheckpointDir(found)
+        atexit.register(remove, found)
     return found.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, removed when the driver ends."""
+    found = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    atexit.register(remove, found)
+    return found
+
+
+def remove(folder: str) -> None:
+    """Delete a folder, if it is there and in a store that can be reached."""
+    try:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.delete_dir(path)
+    except (OSError, ValueError):
+        pass
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -66,15 +84,31 @@ def sample_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.join(F.broadcast(chosen), id_col, "left_semi").limit(n)
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Whole groups from batches sorted by ``key``."""
+_kept: dict[tuple, object] = {}
+
+
+def remembered(key: tuple, make: Callable[[], object] = lambda: None) -> object:
+    """What ``make`` gives, kept by a worker until another key is asked for.
+
+    Workers serve one operator after another; each releases what the one before held,
+    so that their memories do not add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
+    """Whole groups from batches sorted by ``keys``."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
-        ks = pdf[key].to_numpy()
-        cuts = np.r_[0, np.flatnonzero(ks[1:] != ks[:-1]) + 1, len(ks)]
-        if held and held[-1][key].iloc[-1] != ks[0]:
+        columns = [pdf[k].to_numpy() for k in keys]
+        edge = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        cuts = np.r_[0, np.flatnonzero(edge) + 1, len(pdf)]
+        if held and any(held[-1][k].iloc[-1] != c[0] for k, c in zip(keys, columns)):
             yield pd.concat(held)
             held = []
         for a, b in zip(cuts[:-2], cuts[1:-1]):
@@ -83,3 +117,10 @@ def whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataF
         held.append(pdf.iloc[cuts[-2] :])
     if held:
         yield pd.concat(held)
+
+
+def same_length(pdf: pd.DataFrame, column: str) -> Iterator[pd.DataFrame]:
+    """The rows of a frame apart by the length of a column's values."""
+    sizes = np.fromiter(map(len, pdf[column]), "i8", len(pdf))
+    for n in np.unique(sizes):
+        yield pdf[sizes == n] if (sizes != n).any() else pdf

@@ -24,7 +24,7 @@ def _towards_least(edges: DataFrame, upwards: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (two long columns); root is its least node.
+    """(node, root) for every node of ``edges`` (two columns of one orderable type); root is its least node.
 
     Alternating large-star and small-star rounds: edges stay at most as many as
     nodes and edges together, no adjacency list is ever gathered in one row, and a

@@ -14,10 +14,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import regex
 
+from tidegraph.llm.common import remembered
+
 #: Entries of a cache generation; two generations are held, about 200 bytes an entry.
 CACHE_UNITS = 400_000
 #: Marks that end a word without changing how it is split.
@@ -109,6 +110,5 @@ class Encoder:
         return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
 
 
-@lru_cache(4)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return remembered(("encoder", path), lambda: Encoder(path))
