@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import language_id, packing, queries, secrets, simhash
-from tidegraph.llm.common import scratch
+from tidegraph.llm.common import remove, scratch
 from tidegraph.llm.exact_dedup import drop_copies
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -58,11 +58,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, earlier = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             kept = scratch(spark, f"stage{k}")
             docs.write.parquet(kept)
             docs = spark.read.parquet(kept)
+            if earlier:
+                remove(earlier)
+            earlier = kept
     return docs

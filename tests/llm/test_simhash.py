@@ -61,9 +61,10 @@ def test_anchors_lose_no_link():
         assert home & {c >> 1 for c in both[1][r]}
 
 
-@pytest.mark.parametrize("small", [48, 1])
-def test_links_join_what_brute_force_joins(small, monkeypatch):
+@pytest.mark.parametrize(("small", "crowd"), [(48, 1024), (1, 1024), (1, 8)])
+def test_links_join_what_brute_force_joins(small, crowd, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     draw = np.random.default_rng(2)
     centre = draw.integers(0, 2**64, 5, "u8")
     prints = np.unique(np.concatenate([centre] + [centre ^ (np.uint64(1) << draw.integers(0, 64, 5, "u8")) for _ in range(20)]))
@@ -86,7 +87,18 @@ def test_links_join_what_brute_force_joins(small, monkeypatch):
         assert len(i) < 3 * len(prints)
 
 
-def test_against_brute_force(spark, edge, edge_rows):
+def test_links_of_nodes_joined_beforehand():
+    """Rows of one node count as joined, each node is named once, and anchors do not mix."""
+    x = np.array([0, 1, 0xFFFF, 0xFFFE, 0, 1, 3], "u8").reshape(-1, 1)
+    anchor, node = np.array([5, 5, 5, 5, 9, 9, 9]), np.array([40, 30, 30, 20, 40, 30, 10])
+    i, j = simhash.links(anchor, np.zeros(7, bool), x, 1, node)
+    assert sorted(zip(anchor[i].tolist(), node[i].tolist(), node[j].tolist())) == [(5, 30, 20), (5, 40, 20), (9, 30, 10), (9, 40, 10)]
+    assert all(len(k) == 0 for k in simhash.links(anchor[:0], np.zeros(0, bool), x[:0], 1, node[:0]))
+
+
+@pytest.mark.parametrize("early", [16, 1])
+def test_against_brute_force(spark, edge, edge_rows, early, monkeypatch):
+    monkeypatch.setattr(simhash, "EARLY", early)
     rows = simhash.near_groups(edge, words=3, width=1, most=3, blocks=2, block_bits=32).collect()
     prints = {k: brute_print(r[1], 3) for k, r in enumerate(edge_rows)}
     groups = brute_groups(prints, 3)
@@ -112,6 +124,33 @@ def test_near_copies_go_and_others_stay(spark):
     assert kept == {i for i, _ in rows} - {2 * k + 1 for k in range(1, 60, 2)}
 
 
+def test_rows_go_by_identifier_and_text(spark):
+    """A repeated identifier does not take unrelated texts along, and null identifiers yield to others."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(3000)]
+    base, other, third = (draw.choices(words, k=300) for _ in range(3))
+    near = lambda t: " ".join(t[:150] + ["zzz"] + t[151:])
+    rows = [(1, " ".join(base)), (2, near(base)), (2, " ".join(other)), (None, " ".join(base[:200] + ["q"] + base[201:])), (None, " ".join(third)), (None, near(third)), (None, "alone"), (7, None), (8, ""), (None, None)]
+    got = Counter((r.doc_id, r.text) for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    kept = [rows[k] for k in (0, 2, 6, 7)]
+    assert all(got[r] == 1 for r in kept) and sum(got.values()) == 5 and got[rows[4]] + got[rows[5]] == 1
+
+
+def test_blocks_grow_with_the_number_of_fingerprints():
+    small, large = simhash.plan_for(10**6), simhash.plan_for(10**9)
+    assert (small["blocks"], small["block_bits"]) == (80, 23) and large["block_bits"] == 29
+    load = lambda n: n / 2 ** (simhash.plan_for(n)["block_bits"] - 11)  # noqa: E731  fingerprints per anchor
+    assert all(load(10**k) <= simhash.LOAD for k in range(5, 13))
+    # two random bits in 0.15 differ: the chance to meet in some block stays as high
+    draw = np.random.default_rng(3)
+    x = draw.integers(0, 2**64, (1500, 4), "u8")
+    flip = np.packbits(draw.random((1500, 256)) < 39 / 256, axis=1, bitorder="little").view("u8")
+    for plan in (small, large):
+        bits = simhash.blocks_of(4, plan["blocks"], plan["block_bits"])
+        (_, a), (_, b) = (simhash.anchors(s, bits, 0) for s in (x, x ^ flip))
+        assert (a.reshape(len(bits), -1) == b.reshape(len(bits), -1)).any(axis=0).mean() > 0.98
+
+
 def test_empty(nothing):
     assert simhash.near_groups(nothing).count() == 0 and simhash.near_dedup(nothing).columns == nothing.columns
 
@@ -153,10 +192,10 @@ def test_tiles_join_what_all_pairs_join(spark, monkeypatch):
     text = draw.choices("abcdefghijklmnopqrstuvwxyz", k=60)
     rows = []
     for k in range(30):
-        rows.append((1, k, " ".join(text)))
+        rows.append((1, k, " ".join(text), 30))
         text[draw.randrange(60)] = f"w{k}"
-    got = simhash.verified_links(spark.createDataFrame(rows, "group long, text_key long, body string"), 5, 0.8, 4)
-    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for *_, t in rows]
+    got = simhash.verified_links(spark.createDataFrame(rows, "group long, node long, body string, size long"), 5, 0.8, 4)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, _, t, _ in rows]
     root = list(range(30))
     for _ in range(30):
         root = [min(root[j] for j in range(30) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(30)]
