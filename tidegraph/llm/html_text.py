@@ -5,9 +5,12 @@ names of the tags and classes above it, hashed words, and a few measures.  A
 bidirectional LSTM (numpy) reads the whole sequence, so each block is judged with
 the page around it, and labels it main text or not.
 
-The model is trained when it is needed: on invented pages in many layouts, and on
-a bounded sample of the corpus' own pages, labelled by the names of the elements
-that hold each block.  Training is seeded, so the same sample gives the same model.
+The model is trained when it is needed: on invented pages in many layouts, whose main
+text is known because it was put there, and on a bounded sample of the corpus' own
+pages, as far as their structure tells (article and main elements, and the elements
+the HTML standard has for navigation, headers, footers, asides and forms).  Blocks of
+pages without such structure have no label and teach nothing.  Training is seeded, so
+the same sample gives the same model.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,13 +34,16 @@ SAMPLE_PAGES, SAMPLE_CHARS = 100, 50_000
 PATHS, WORDS, MEASURES, HIDDEN = 64, 16, 5, 16
 INPUT = PATHS + WORDS + MEASURES
 INVENTED, EPOCHS, BATCH, RATE, SEED = 300, 10, 25, 0.01, 11
+#: Characters of pages cut into blocks at a time, and blocks (padding included) read at a time; a longer page comes alone.
+READ_CHARS, READ_BLOCKS = 2_000_000, 20_000
 
-#: Elements whose content is never text of the page.
-_SKIP = "script|style|noscript|template|title|textarea|svg|iframe|select|object|canvas"
+#: Elements whose content is no text of the page; an unclosed one of the first two hides the rest, as in
+#: browsers, and an unclosed one of the others hides nothing.
+_CODE = frozenset(("script", "style"))
+_HIDDEN = _CODE | frozenset(("noscript", "template", "title", "textarea", "iframe", "noembed", "noframes", "canvas"))
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_SKIP})\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>""",
-    re.S | re.I,
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>""",
+    re.S,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
@@ -44,26 +52,27 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: These do too, and hold what follows only if they are closed.
+_CLOSED = frozenset(("button", "label", "select", "option", "object", "svg"))
 _NO_END = frozenset(("hr", "br", "img", "input", "meta", "link"))
 #: What an opening tag ends first.
 _ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 
-
-#: Names that mark what is around an article rather than in it.
-AROUND = frozenset(
-    "nav navigation navbar menu breadcrumb breadcrumbs header masthead topbar banner footer bottom aside sidebar widget form login signup search subscribe "
-    "newsletter button label ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent notice notices alert popup modal overlay comment comments reply "
-    "replies respond discussion disqus reader share sharing social related recommended tags pagination pager copyright legal toolbar".split()
-)
-#: Names that mark an article.
-WITHIN = frozenset("article main content post entry story body text".split())
+#: Elements that by their meaning hold an article, and those that by theirs are around one.
+ARTICLE = frozenset(("article", "main"))
+AROUND = frozenset(("nav", "menu", "header", "footer", "aside", "form", "dialog", "button", "label", "select", "svg"))
+#: Names above a block that count most.
+NEAR = 6
 
 
 class Block:
-    __slots__ = ("text", "path", "linked")
+    """A leaf block: its text, a vector of the names above it, the share of it in links, where it
+    starts in the page, and what the elements above say (1: in an article, 0: around one, None: nothing)."""
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: float):
-        self.text, self.path, self.linked = text, path, linked
+    __slots__ = ("text", "path", "linked", "at", "told")
+
+    def __init__(self, text: str, path: np.ndarray, linked: float, at: int, told: int | None):
+        self.text, self.path, self.linked, self.at, self.told = text, path, linked, at, told
 
 
 def names_of(tag: str, attributes: str) -> tuple[str, ...]:
@@ -72,50 +81,124 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(n for m in _NAMED.finditer(attributes) for n in _NAME.findall((m[1] or m[2] or m[3] or "").lower())))
 
 
+class _Element:
+    """An open element below others.  Elements that repeat under one parent share what is worked out of their names."""
+
+    __slots__ = ("tag", "slots", "above", "held", "told", "below", "vector")
+
+    def __init__(self, tag: str, slots: list[int], above: _Element | None):
+        self.tag, self.slots, self.above, self.below, self.vector = tag, slots, above, {}, None
+        if above is None:
+            self.held, self.told = np.zeros(PATHS, "f4"), None
+            return
+        self.held = above.held.copy() if slots else above.held
+        for k in slots:
+            self.held[k] += 0.5
+        self.told = 0 if above.told == 0 or tag in AROUND else 1 if above.told == 1 or tag in ARTICLE else None
+
+    def names(self) -> np.ndarray:
+        """Sums over the hashed names of the elements here, the nearest counted twice: the cost of a block does not depend on how deep it lies."""
+        if self.vector is None:
+            self.vector, left, at = self.held.copy(), NEAR, self
+            while at is not None and left > 0:
+                for k in reversed(at.slots[-left:]):
+                    self.vector[k] += 0.5
+                left, at = left - len(at.slots), at.above
+        return self.vector
+
+
+class _Open:
+    """The elements open at a place."""
+
+    def __init__(self):
+        self.last = _Element("", [], None)
+        self.tags: Counter[str] = Counter()
+
+    def pop(self) -> str:
+        tag, self.last = self.last.tag, self.last.above
+        self.tags[tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        if self.tags[tag] > 0:
+            while self.pop() != tag:
+                pass
+
+    def begin(self, tag: str, attributes: str) -> None:
+        for ended in _ENDS.get(tag, ("p",)):
+            if self.last.tag == ended:
+                self.pop()
+        key = (tag, attributes)
+        found = self.last.below.get(key)
+        if found is None:
+            found = self.last.below[key] = _Element(tag, [_path_slots[n] for n in names_of(tag, attributes)], self.last)
+        self.last = found
+        self.tags[tag] += 1
+
+
+class _Closings:
+    """Where the next closing tag of an element is; every stretch of the page is searched once per name."""
+
+    def __init__(self, page: str):
+        self.page, self.next = page, {}
+
+    def after(self, tag: str, at: int) -> re.Match | None:
+        found = self.next.get(tag, -1)
+        if found == -1 or found is not None and found.start() < at:
+            found = self.next[tag] = _closing(tag).search(self.page, at)
+        return found
+
+
+@lru_cache(64)
+def _closing(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I)
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: text with single spaces, names above it from the outermost, share of it in links."""
+    """Leaf blocks in page order, their text with single spaces."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    above, closings = _Open(), _Closings(page)
     parts: list[str] = []
-    links, linked, at = 0, 0, 0
+    links, linked, at, first = 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(n for _, names in stack for n in names), min(1.0, linked / len(text))))
+                out.append(Block(text, above.last.names(), min(1.0, linked / len(text)), first, above.last.told))
             parts, linked = [], 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             chunk = page[at : m.start()]
             chunk = html.unescape(chunk) if "&" in chunk else chunk
+            first = first if parts else at
             parts.append(chunk)
             linked += len(chunk.strip()) if links else 0
         at = m.end()
-        if not m[3]:
+        if not m[2]:
             continue
-        tag, closing = m[3].lower(), bool(m[2])
-        if tag == "br":
+        tag, closing = m[2].lower(), bool(m[1])
+        if tag in _HIDDEN:
+            if not closing:
+                end = closings.after(tag, at)
+                at = end.end() if end else len(page) if tag in _CODE else at
+        elif tag == "br":
+            first = first if parts else at
             parts.append(" ")
         elif tag == "a":
             links = max(0, links + (-1 if closing else 1))
-        elif tag in BLOCKS or tag == "button" or tag == "label":
+        elif tag in BLOCKS or tag in _CLOSED:
             flush()
             if tag in BLOCKS:
                 links = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
-            elif tag not in _NO_END:
-                for ended in _ENDS.get(tag, ("p",)):
-                    if stack and stack[-1][0] == ended:
-                        stack.pop()
-                stack.append((tag, names_of(tag, m[4] or "")))
+                above.close(tag)
+            elif tag not in _NO_END and (tag in BLOCKS or not m[3].endswith("/") and closings.after(tag, at)):
+                above.begin(tag, m[3] or "")
     if at < len(page):
+        first = first if parts else at
         parts.append(html.unescape(page[at:]))
     flush()
     return out
@@ -141,10 +224,9 @@ _path_slots, _word_slots = _Slots(PATHS), _Slots(WORDS)
 def vectors(found: list[Block]) -> np.ndarray:
     x = np.zeros((len(found), INPUT), "f4")
     for k, b in enumerate(found):
-        for depth, name in enumerate(reversed(b.path)):
-            x[k, _path_slots[name]] += 1.0 if depth < 6 else 0.5
         words = b.text.split()
         n = len(words)
+        x[k, :PATHS] = b.path
         x[k, PATHS : PATHS + WORDS] = np.bincount(list(map(_word_slots.__getitem__, words)), minlength=WORDS) / n
         x[k, PATHS + WORDS :] = (np.log1p(n) / 4, b.linked, k / len(found), sum(map(b.text.count, ".!?,")) / n, 1.0)
     return np.minimum(x, 2.0)
@@ -164,8 +246,8 @@ class Labeller:
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, w: np.ndarray, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """Hidden states over x (time, pages, inputs); states stand still where the mask is 0."""
+    def _run(self, w: np.ndarray, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states over x (time, pages, inputs); states stand still where the mask is 0.  Training keeps what it needs."""
         steps, pages, _ = x.shape
         h, c = np.zeros((pages, HIDDEN), "f4"), np.zeros((pages, HIDDEN), "f4")
         pre = x.reshape(-1, INPUT) @ w[:INPUT] + w[-1]
@@ -178,7 +260,8 @@ class Labeller:
             m = mask[t][:, None]
             new = f * c + i * g
             tanh = np.tanh(new)
-            kept.append((h, c, i, f, o, g, tanh, m))
+            if keep:
+                kept.append((h, c, i, f, o, g, tanh, m))
             c = np.where(m, new, c)
             h = np.where(m, o * tanh, h)
             states[t] = h
@@ -199,9 +282,9 @@ class Labeller:
             dc = np.where(m, dcell * f, dc)
         return dw
 
-    def _forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-        a, ka = self._run(self.w[0], x, mask)
-        b, kb = self._run(self.w[1], x[::-1], mask[::-1])
+    def _forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list, np.ndarray]:
+        a, ka = self._run(self.w[0], x, mask, keep)
+        b, kb = self._run(self.w[1], x[::-1], mask[::-1], keep)
         seen = np.concatenate([a, b[::-1], x, np.ones((*x.shape[:2], 1), "f4")], axis=2)
         return self._sigmoid(seen @ self.out), [ka, kb], seen
 
@@ -217,14 +300,19 @@ class Labeller:
         """Which blocks of each page are main text; pages of like length are read together."""
         out: list[np.ndarray] = [np.empty(0, bool)] * len(pages)
         order = sorted((k for k, p in enumerate(pages) if len(p)), key=lambda k: len(pages[k]))
-        for a in range(0, len(order), 128):
-            part = order[a : a + 128]
+        while order:
+            n = 1  # the longest first, and as many more as the bound on blocks read at a time allows
+            while n < len(order) and n < 256 and (n + 1) * len(pages[order[-1]]) <= READ_BLOCKS:
+                n += 1
+            part = order[-n:]
+            del order[-n:]
             p, _, _ = self._forward(*self.pad([pages[k] for k in part]))
             for j, k in enumerate(part):
                 out[k] = p[: len(pages[k]), j] > 0.5
         return out
 
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> Labeller:
+        """Adam on the mean loss of the blocks whose label is not nan."""
         draw, params = np.random.default_rng(SEED), [*self.w, self.out]
         m1, m2, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(EPOCHS):
@@ -232,11 +320,12 @@ class Labeller:
             for a in range(0, len(order), BATCH):
                 part = order[a : a + BATCH]
                 x, mask = self.pad([pages[k] for k in part])
-                y = np.zeros(mask.shape, "f4")
+                y = np.full(mask.shape, np.nan, "f4")
                 for j, k in enumerate(part):
                     y[: len(labels[k]), j] = labels[k]
-                p, kept, seen = self._forward(x, mask)
-                d = np.where(mask, p - y, 0) / mask.sum()
+                known = ~np.isnan(y)
+                p, kept, seen = self._forward(x, mask, keep=True)
+                d = np.where(known, p - np.nan_to_num(y), 0) / max(1, known.sum())
                 ds = d[:, :, None] * self.out
                 grads = [self._back(self.w[0], x, kept[0], ds[:, :, :HIDDEN]), self._back(self.w[1], x[::-1], kept[1], ds[::-1, :, HIDDEN : 2 * HIDDEN]), np.tensordot(d, seen, ((0, 1), (0, 1)))]
                 step += 1
@@ -248,16 +337,14 @@ class Labeller:
         return self
 
 
-def by_names(found: list[Block]) -> np.ndarray:
-    """Labels from the names above each block: within an article, where the page has one, and nothing around it."""
-    clear = [not AROUND.intersection(b.path) for b in found]
-    within = [bool(WITHIN.intersection(n for n in b.path if n != "body")) for b in found]
-    some = any(w and c for w, c in zip(within, clear))
-    return np.array([c and (w or not some and b.linked < 0.5) for b, w, c in zip(found, within, clear)], "f4")
+def by_structure(found: list[Block]) -> np.ndarray:
+    """Labels as far as elements tell: on a page with an article all that is not in it is around it; nan where nothing tells."""
+    some = any(b.told for b in found)
+    return np.array([b.told if b.told is not None else 0 if some else np.nan for b in found], "f4")
 
 
-def invented_pages(n: int, seed: int = SEED) -> Iterator[str]:
-    """Pages in many layouts, with what surrounds articles in the wild."""
+def invented_pages(n: int, seed: int = SEED) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Pages in many layouts, with what surrounds articles in the wild, and the stretches of each that are main text."""
     draw = np.random.default_rng(seed)
     pick = lambda *xs: xs[draw.integers(len(xs))]
     word = lambda: "".join(draw.choice(list("aeioustrnlmdk"), draw.integers(2, 9)))
@@ -288,26 +375,41 @@ def invented_pages(n: int, seed: int = SEED) -> Iterator[str]:
             lambda: f"<div {named('ad', 'advert', 'sponsor')}><p>{prose()}</p></div>",
         ]
         some = lambda xs: "".join(x() for x in xs if draw.random() < 0.35)
-        inner = [f"<{pick('h1', 'h1', 'h2')}>{line(2, 9)}</h1>"] if draw.random() < 0.85 else []
+        heading = pick("h1", "h1", "h2")
+        inner = [(f"<{heading}>{line(2, 9)}</{heading}>", True)] if draw.random() < 0.85 else []
         for _ in range(draw.integers(1, 12)):
-            inner.append(pick(f"<p>{prose()}</p>", f"<p>{prose()}</p>", f"<p>{prose()}", f"<p><b>{prose()}<br>", f"<h2>{line(2, 6)}</h2>", f"<p>{line(1, 3)}.</p>", f"<ul><li>{line(2, 9)}</li><li>{prose()}</li></ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<pre>{prose()}</pre>"))
+            inner.append((pick(f"<p>{prose()}</p>", f"<p>{prose()}</p>", f"<p>{prose()}", f"<p><b>{prose()}<br>", f"<h2>{line(2, 6)}</h2>", f"<p>{line(1, 3)}.</p>", f"<ul><li>{line(2, 9)}</li><li>{prose()}</li></ul>", f"<blockquote><p>{prose()}</p></blockquote>", f"<pre>{prose()}</pre>", f"<object><p>{prose()}</p></object>"), True))
             if draw.random() < 0.08:
-                inner.append(pick(*before[4:6])())
+                inner.append((pick(*before[4:6])(), False))
         shell = pick(("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), (f"<div {named('content', 'post', 'entry-content', 'story-body', 'main-text')}>", "</div>"), ("<main><article>", "</article></main>"), ("<div>", "</div>"))
-        yield f"<html><body>{some(before)}{shell[0]}{''.join(inner)}{shell[1]}{some(after)}</body></html>"
+        page, main = f"<html><body>{some(before)}{shell[0]}", []
+        for fragment, own in inner:
+            if own:
+                main.append((len(page), len(page) + len(fragment)))
+            page += fragment
+        yield f"{page}{shell[1]}{some(after)}</body></html>", main
 
 
 def trained(own_pages: list[str]) -> Labeller:
-    found = [b for p in [*invented_pages(INVENTED), *own_pages] if (b := blocks(p))]
-    return Labeller().train([vectors(b) for b in found], [by_names(b) for b in found])
+    examples = []
+    for page, main in invented_pages(INVENTED):
+        found = blocks(page)
+        examples.append((vectors(found), np.array([any(a <= b.at < z for a, z in main) for b in found], "f4")))
+    for page in own_pages:
+        found = blocks(page)
+        examples.append((vectors(found), by_structure(found)))
+    examples = [(x, y) for x, y in examples if len(x)]
+    return Labeller().train([x for x, _ in examples], [y for _, y in examples])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labeller: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars per row; text joins the main blocks by a blank line.
 
     Null or blank html, and pages without a main block, give the empty text.  Broken
-    markup is read as far as it goes: unclosed elements end with the page.  Rows may
-    repeat, identifiers and urls may be null; other columns are ignored.
+    markup is read as far as it goes: unclosed elements end with the page, and only an
+    unclosed comment, script or style hides what follows.  Time and memory are linear in
+    a page's length, however deep it nests.  Rows may repeat, identifiers and urls may be
+    null; other columns are ignored.
     """
     spark = pages.sparkSession
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
@@ -318,8 +420,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                part = pdf.iloc[a : a + 256]
+            sizes = pdf["html"].str.len().to_numpy()
+            edges = np.r_[0, np.flatnonzero(np.diff(np.cumsum(sizes + READ_CHARS // 256) // READ_CHARS)) + 1, len(pdf)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                part = pdf.iloc[a:b]
+                if not len(part):
+                    continue
                 found = [blocks(p) for p in part["html"]]
                 kept = shared.value.label([vectors(b) for b in found])
                 text = ["\n\n".join(b.text for b, main in zip(bs, ks) if main) for bs, ks in zip(found, kept)]
