@@ -1,9 +1,10 @@
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tidegraph.llm import secrets
+from tidegraph.llm import secrets, trigrams
 
 PATTERNS = {r.kind: r for r in secrets.RULES}
 
@@ -61,6 +62,61 @@ def test_empty(spark):
     assert secrets.scan(df.where("false")).count() == 0
 
 
+def holds(query, text):
+    return not query or any(all(g in text.lower() for g in branch) for branch in query)
+
+
+def test_queries_are_read_off_the_patterns():
+    query = lambda p: set(trigrams.trigram_query(p))
+    assert query("abc") == {("abc",)} and query("ab") == set() and query("abc|xyz") == {("abc",), ("xyz",)} and query("abc|x") == set()
+    assert query("AbCd") == {("abc", "bcd")} and query("ab?cde") == {("abc", "bcd", "cde"), ("acd", "cde")} and query("a[xy]b") == {("axb",), ("ayb",)}
+    assert query("a(b|cc)d+e") == {("abd",), ("ccd",)} and query("(abc)*def") == {("def",)} and query("(ab){2}") == {("aba", "bab")}
+    assert query("abc.*xyz") == {("abc", "xyz")} and query("[0-9a-f]{24,}") == set() and query("(?i:abc)def") == {("def",)}
+    assert query(PATTERNS["access"].pattern) == {("aki", "kia")} and {b[0] for b in query(PATTERNS["assign"].pattern)} == {"pas", "sec", "tok", "api"}
+
+
+def test_a_query_never_misses_a_match():
+    """Random patterns, each with a way to draw strings that it matches."""
+    draw = random.Random(11)
+    leaves = {"a": "a", "C": "cC"[1:], "ab": None, "Abc": None, "cab": None, "x-": None, "[ab]": "ab", "[a-d]": "abcd", "[^a]": "bcD-", ".": "abCx-", r"\w": "abD"}
+
+    def some(depth):
+        kind = draw.random()
+        if depth == 0 or kind < 0.3:
+            leaf = draw.choice(list(leaves))
+            return leaf, lambda: draw.choice(leaves[leaf]) if leaves[leaf] else leaf
+        (p, f), (q, g) = some(depth - 1), some(depth - 1)
+        if kind < 0.65:
+            return p + q, lambda: f() + g()
+        if kind < 0.8:
+            return f"({p}|{q})", lambda: draw.choice((f, g))()
+        mark, least, most = draw.choice([("*", 0, 3), ("+", 1, 3), ("?", 0, 1), ("{2}", 2, 2), ("{1,3}", 1, 3), ("{0,2}", 0, 2), ("{2,}", 2, 4), ("{5}", 5, 5), ("*?", 0, 2), ("+?", 1, 2)])
+        return f"(?:{p}){mark}", lambda: "".join(f() for _ in range(draw.randint(least, most)))
+
+    met = 0
+    for _ in range(800):
+        pattern, string = some(5)
+        query = trigrams.trigram_query(pattern)
+        for _ in range(15):
+            text = draw.choice(["", "b", "Ca"]) + string() + draw.choice(["", "d-", "AB"])
+            m = re.search(pattern, text, re.S)
+            met += bool(query)
+            assert m and holds(query, m[0]), (pattern, query, text)
+    assert met > 3000
+
+
+def test_matches_of_the_rules_satisfy_their_queries():
+    draw = random.Random(12)
+    for r in secrets.RULES:
+        seeds = [t for t in TEXTS if t and re.search(r.pattern, t)]
+        for _ in range(2000):
+            text = draw.choice(seeds)
+            m = draw.choice(list(re.finditer(r.pattern, text)))
+            odd = "".join(draw.choice([c, c, c.swapcase(), draw.choice(" :='\"aZ9_")]) if draw.random() < 0.2 else c for c in m[0])
+            for found in re.finditer(r.pattern, odd):
+                assert holds(r.trigrams(), found[0])
+
+
 def test_no_python(spark):
     df, _ = frame(spark)
     assert "Python" not in secrets.scan(df)._jdf.queryExecution().executedPlan().toString()

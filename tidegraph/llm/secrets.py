@@ -1,8 +1,8 @@
 """Secret scans through a trigram inverted index.
 
-Every rule's pattern is turned into a Boolean query over trigrams that any match
-must contain (an OR of branches, each an AND of trigrams).  A rule without such
-trigrams, like a run of hex digits, scans every text.
+Every rule's pattern is parsed into a Boolean query over trigrams that any match must
+contain (an OR of branches, each an AND of trigrams; see :mod:`tidegraph.llm.trigrams`).
+A rule without such trigrams, like a run of hex digits, scans every text.
 
 The index holds, per trigram and per bucket of 32,768 document positions, a bitmap
 of the documents that contain it.  Positions are hashed identifiers, so buckets are
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import body
+from tidegraph.llm.trigrams import trigram_query
 
 #: Positions per bucket, fixed by Spark's bitmap functions.
 BUCKET = 32_768
@@ -31,19 +32,17 @@ BROADCAST_BYTES = 64 << 20
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: alternatives, each a tuple of strings all of which a match contains, in any case."""
+    """A kind of secret and the regular expression that finds it."""
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     #: A match counts only if this group of it has at least ``least`` characters.
     group: int = 0
     least: int = 1
 
-    def trigrams(self) -> list[frozenset[str]]:
+    def trigrams(self) -> list[tuple[str, ...]]:
         """The Boolean query: an OR of ANDs of lower-case trigrams; [] where nothing is mandatory."""
-        grams = [frozenset(s[k : k + 3].lower() for s in branch for k in range(len(s) - 2)) for branch in self.literals]
-        return [] if not all(grams) else list(dict.fromkeys(grams))
+        return list(trigram_query(self.pattern))
 
 
 def _either_case(word: str) -> str:
@@ -58,19 +57,18 @@ BASE_RULES = (
     Rule(
         "assign",
         rf"""({_ANY_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        (("password",), ("passwd",), ("secret",), ("token",), ("apikey",), ("api_key",)),
         group=2,
         least=6,
     ),
-    Rule("access", r"AKIA[A-Z0-9]{16,}", (("AKIA",),)),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
 #: What the index makes cheap to look for besides; fixed patterns of public token formats.
 EXTRA_RULES = (
-    Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}", tuple((f"gh{c}_",) for c in "opsu")),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", tuple((f"xox{c}-",) for c in "abprs")),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", (("-----BEGIN ", "PRIVATE KEY-----"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", (("eyJ", ".eyJ"),)),
+    Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE_RULES + EXTRA_RULES
 
@@ -96,7 +94,7 @@ def build_index(docs: DataFrame, grams: list[str], buckets: int, id_col: str = "
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(bucket, kind, bitmap): postings intersected within each branch, branches united per rule."""
-    branches = [(r.kind, k, g) for r in rules for k, q in enumerate(r.trigrams()) for g in sorted(q)]
+    branches = [(r.kind, k, g) for r in rules for k, q in enumerate(r.trigrams()) for g in q]
     wanted = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("branch"), F.lit(g).alias("of")) for kind, k, g in branches])
     each = index.select("bucket", "gram", "bitmap", F.inline(F.filter(wanted, lambda x: x["of"] == F.col("gram"))))
     met = each.groupBy("bucket", "kind", "branch").agg(F.bitmap_and_agg("bitmap").alias("bitmap"))
