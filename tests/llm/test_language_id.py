@@ -1,5 +1,9 @@
+import math
 import random
+from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,26 +39,86 @@ def test_edges(spark, corpus):
     assert sorted(r.doc_id or 0 for r in li.keep_accepted(df, model).collect()) == [0, 4, 4, 6]
 
 
-def test_probabilities_sum_to_one():
-    from collections import Counter
+def plain_kneser_ney(counts, order):
+    """Interpolated Kneser-Ney from its definition, on dictionaries of character tuples: p(character, context)."""
+    tables = [Counter() for _ in range(order)]
+    for word, n in counts.items():
+        padded = "\0" * (order - 1) + word + "\0"
+        for k in range(order - 1, len(padded)):
+            tables[-1][padded[k - order + 1 : k + 1]] += n
+    for n in range(order - 1, 0, -1):  # lower orders count in how many contexts one longer a gram occurs
+        for gram in tables[n]:
+            tables[n - 1][gram[1:]] += 1
+    discounts = []
+    for t in tables:
+        ones, twos = sum(c == 1 for c in t.values()), sum(c == 2 for c in t.values())
+        discounts.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+
+    def p(char, context):
+        below = p(char, context[1:]) if context else 1 / (len(tables[0]) + 1)
+        t, d = tables[len(context)], discounts[len(context)]
+        follow = [c for g, c in t.items() if g[:-1] == context]
+        if not follow:
+            return below
+        return max(t.get(context + char, 0) - d, 0) / sum(follow) + sum(min(c, d) for c in follow) / sum(follow) * below
+
+    return p
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_model_against_plain_kneser_ney(seed):
+    draw = random.Random(seed)
+    counts = Counter({"".join(draw.choices("abcdé", k=draw.randint(1, 6))): draw.randint(1, 4) for _ in range(40)})
+    m, p = li.Model(counts), plain_kneser_ney(counts, li.ORDER)
+    words = [*list(counts)[:15], "abcab", "zz", "azb", "e", "ddddddd"]
+    found = li.Identifier(["x"], [m])
+    found.learn(words)
+    for w in words:
+        padded = "\0" * (li.ORDER - 1) + w + "\0"
+        want = sum(math.log(p(padded[k], padded[k - li.ORDER + 1 : k])) for k in range(li.ORDER - 1, len(padded)))
+        assert abs(found.table[found.known[w], 0] - want) < 1e-9
+
 
+def test_probabilities_sum_to_one():
     m = li.Model(Counter({"abba": 3, "abc": 2, "cab": 1}))
-    alphabet = ["a", "b", "c", "\0"]
     for context in ("", "a", "ab", "cab"):
-        total = 0.0
-        for c in alphabet:
-            codes = [0] * (li.ORDER - 1) + [ord(x) for x in context + c]
-            import numpy as np
-
-            codes = np.array(codes, "u8")
+        total = m.floor  # the share of one unknown character
+        for c in ["a", "b", "c", "\0"]:
+            codes = np.array([0] * (li.ORDER - 1) + [ord(x) for x in context + c], "u8")
             at = [len(codes) - li.ORDER]
             hashed = [li.grams(codes, n)[at] for n in range(1, li.ORDER + 1)]
             shorter = [np.zeros(1, "u8"), *[li.grams(np.r_[np.uint64(0), codes[:-1]], n)[at] for n in range(1, li.ORDER)]]
             total += float(np.exp(m.log_probs(hashed, shorter))[0])
-        unseen = m.floor * 1.0
-        for n in range(li.ORDER):
-            pass
-        assert 0.9 < total <= 1.0 + 1e-9 and unseen > 0
+        assert 0.9 < total <= 1.0 + m.floor
+
+
+def test_rejection_on_the_corpus():
+    """Clean documents stay; texts in no learnt language, or without order among their letters, go."""
+    rows = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist() if r["text"]]
+    model = li.fit([(r["lang"], r["text"]) for r in rows if r["doc_id"] % 2 and r["lang"]])
+    clean = model.identify([r["text"] for r in rows if not r["doc_id"] % 2])["accepted"]
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [r["text"] for r in rows if len(r["text"].split()) >= 30][:150]
+    foreign = {
+        "letters": [" ".join("".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(60)) for _ in texts],
+        "shuffled": [" ".join("".join(draw.sample(w, len(w))) for w in t.split()[:60]) for t in texts],
+        "italian": [" ".join(draw.choices("il la che di per non sono questo della molto anche quando città giorno tempo bene fare casa strada uomo acqua".split(), k=60)) for _ in texts],
+        "finnish": [" ".join(draw.choices("minä olen hyvin väsynyt tänään koska työskentelin myöhään yöllä kirjastossa kaupungissa talossa".split(), k=60)) for _ in texts],
+        "cyrillic": ["это был очень хороший день когда мы пошли гулять " * 5 for _ in texts],
+    }
+    assert clean.mean() > 0.995
+    for kind, of in foreign.items():
+        assert model.identify(of)["accepted"].mean() <= 0.01, kind
+
+
+def test_a_language_of_few_or_long_texts_is_learnt(spark):
+    draw = random.Random(3)
+    rows = [(k, text("aa", draw), "aa") for k in range(60)] + [(100, text("bb", draw), "bb"), (101, text("cc", draw, 20_000), "cc"), (None, text("bb", draw), "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(rows[-2][1]) > li.SAMPLE_CHARS
+    got = [(r.doc_id, r.lang_pred) for r in li.identify(docs).where("doc_id >= 100 OR doc_id IS NULL").collect()]
+    assert Counter(got) == Counter([(100, "bb"), (101, "cc"), (None, "bb")])
 
 
 def test_nothing_to_learn(spark, corpus):

@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import NULL_ID
+from tidegraph.llm.common import NULL_ID, cut, remembered
 
 ORDER = 5
 UNKNOWN = "und"
-#: The models are fitted on about this many labelled documents per language (chosen by
-#: hashed identifier, no longer than SAMPLE_CHARS each), of which every fifth only
+#: The models are fitted on about this many labelled documents per language, and in all
+#: (chosen by hashed identifier; texts longer than SAMPLE_CHARS only where a language has
+#: no others, and then that much of them).  Of a language's documents every fifth only
 #: calibrates.
-SAMPLE_DOCS, SAMPLE_CHARS = 500, 100_000
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_CHARS = 500, 20_000, 100_000
 #: Cross-entropies up to this many standard deviations (or REJECT_LEAST nats) above
 #: those of a language's calibration documents are accepted, and short texts get
 #: SHORT / sqrt(characters) more: mixed languages, codes and numbers are no ground to reject.
@@ -175,11 +176,13 @@ class Identifier:
 
 
 def fit(samples: list[tuple[str, str]]) -> Identifier:
-    """Identifier from (language, text) pairs."""
+    """Identifier from (language, text) pairs; a language of fewer than five texts has none set apart."""
     counts: dict[str, Counter] = {}
+    seen: Counter[str] = Counter()
     apart: list[tuple[str, str]] = []
-    for k, (lang, text) in enumerate(samples):
-        if k % 5 == 4:
+    for lang, text in samples:
+        seen[lang] += 1
+        if seen[lang] % 5 == 0:
             apart.append((lang, text))
         else:
             counts.setdefault(lang, Counter()).update(_WORDS(text.lower()))
@@ -203,12 +206,17 @@ def fit(samples: list[tuple[str, str]]) -> Identifier:
 
 
 def training_sample(docs: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """About SAMPLE_DOCS (language, text) pairs per language, by hashed identifier."""
-    rows = docs.where(learn_from & F.col(lang_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)).alias("draw")
+    """About SAMPLE_DOCS (language, text) pairs per language, SAMPLE_ALL in all at most, by hashed identifier."""
+    rows = docs.where(learn_from & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("body"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)).alias("draw"), (F.length(text_col) > SAMPLE_CHARS).alias("long")
     )
-    share = rows.groupBy("lang").agg((F.lit(1_000_000 * SAMPLE_DOCS) / F.count(F.lit(1))).alias("below"))  # a row per language
-    found = rows.join(F.broadcast(share), "lang").where("draw < below").select("lang", "draw", "body").collect()
+    counts = cut(rows.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count(F.lit(1)).alias("n")))  # a row per language
+    languages = counts.count()
+    wanted = min(SAMPLE_DOCS, max(1, SAMPLE_ALL // max(1, languages)))
+    share = counts.select("lang", (F.col("short") == 0).alias("long_too"), (F.lit(1_000_000 * wanted) / F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n"))).alias("below"))
+    share = F.broadcast(share) if languages <= SAMPLE_ALL else share  # a few bytes each
+    chosen = rows.join(share, "lang").where((F.col("draw") < F.col("below")) & (~F.col("long") | F.col("long_too")))
+    found = chosen.select("lang", "draw", F.substring("body", 1, SAMPLE_CHARS).alias("body")).limit(2 * SAMPLE_ALL).collect()
     return [(r.lang, r.body) for r in sorted(found, key=lambda r: (r.draw, r.body))]
 
 
@@ -224,6 +232,7 @@ def keep_accepted(docs: DataFrame, identifier: Identifier, text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample
 
     def run(batches):
+        remembered(("language",))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
@@ -256,6 +265,7 @@ def identify(
     shared = spark.sparkContext.broadcast(identifier)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        remembered(("language",))
         for pdf in batches:
             for a in range(0, len(pdf), 500):
                 part = pdf.iloc[a : a + 500]

@@ -39,9 +39,9 @@ def op3_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     found = identify(table(spark, sf_dir, "documents"), learn_from=~held_out)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
