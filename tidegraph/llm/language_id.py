@@ -20,7 +20,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ REJECT_SIGMAS, REJECT_LEAST, SHORT = 6.0, 1.75, 5.0
 #: characters are not independent evidence.
 EVIDENCE = 400
 #: Distinct words remembered by a worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _PRIME = np.uint64(0x100000001B3)
 
@@ -231,15 +230,13 @@ def keep_accepted(docs: DataFrame, identifier: Identifier, text_col: str = "text
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample
 
-    def run(batches):
+    @F.pandas_udf("boolean")  # only texts go to the worker, and a flag comes back
+    def accepted(texts: pd.Series) -> pd.Series:
         remembered(("language",))
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                found = shared.value.identify(part.column(text_col).to_pylist())
-                yield part.filter(pa.array(found["accepted"].to_numpy(bool)))
+        parts = [shared.value.identify([t if isinstance(t, str) else None for t in texts[a : a + 500]])["accepted"] for a in range(0, len(texts), 500)]
+        return pd.Series(np.concatenate([np.empty(0, bool), *parts]).astype(bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(accepted(F.col(text_col).cast("string")))
 
 
 def identify(
