@@ -124,3 +124,22 @@ def test_a_language_of_few_or_long_texts_is_learnt(spark):
 def test_nothing_to_learn(spark, corpus):
     assert [r.lang_pred for r in li.identify(corpus.where("doc_id = 1").withColumn("lang", F.lit(None).cast("string"))).collect()] == ["und"]
     assert li.identify(corpus.where("false")).count() == 0
+
+
+def test_common_words_are_scored_once_and_batches_are_bounded(monkeypatch):
+    """Rare words push out no common ones, and texts scored together are bounded by their characters."""
+    draw = random.Random(4)
+    model = li.fit([(lang, text(lang, draw)) for lang in STEMS for _ in range(20)])
+    common = ["".join(draw.choices("abcdefgh", k=6)) for _ in range(30)]
+    rare = lambda: " ".join("".join(draw.choices("stuvwxyz", k=9)) for _ in range(40))
+    monkeypatch.setattr(li, "CACHE_WORDS", 100)
+    scored, learn = Counter(), li.Identifier.learn
+    monkeypatch.setattr(li.Identifier, "learn", lambda self, words: (scored.update(words), learn(self, words))[1])
+    model.clear()
+    texts = [f"{' '.join(common)} {rare()} {' '.join(common)}" for _ in range(20)]
+    each = [model.identify([t]).iloc[0] for t in texts]
+    assert max(scored[w] for w in common) == 1 and len(model.known) <= 100 + 70
+    monkeypatch.setattr(li, "CACHE_WORDS", 10_000)
+    model.clear()
+    assert np.allclose([r.entropy for r in each], model.identify(texts)["entropy"], atol=1e-9)
+    assert max(b - a for a, b in li.batches_of(["x" * 400_000] * 9)) == 2 and list(li.batches_of([None, "x" * 3_000_000, ""])) == [(0, 1), (1, 2), (2, 3)]
