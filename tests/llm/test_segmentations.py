@@ -101,3 +101,18 @@ def test_long_unbroken_run(lat):
         assert len({a.tobytes() for a, *_ in found}) == 2 and all(lat.decode(a) == "a" * n for a, *_ in found)
         ends[n] = found[0][1] / n
     assert abs(ends[530_000] / ends[60_000] - 1) < 0.2  # a sample each
+
+
+def test_query_draws_four(spark):
+    """The registered query resumes its search more than once: four distinct segmentations of each text that has them."""
+    from tidegraph.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    found = {}
+    for r in queries.op3_segmentations(spark, "/root/testdata/sf0.001").collect():
+        assert r.round_trip
+        found.setdefault(r.doc_id, []).append((r["rank"], r.ids_crc32))
+    assert set(found) == set(docs)
+    for i, t in docs.items():
+        ranks, sums = zip(*sorted(found[i]))
+        assert ranks == tuple(range(4 if len(t) >= 20 else len(ranks))) and len(set(sums)) == len(sums)

@@ -35,7 +35,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), k=2)
+    return sample_segmentations(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), k=4)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
