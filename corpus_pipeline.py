@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import language_id, packing, queries, secrets, simhash
-from tidegraph.llm.common import remove, scratch
+from tidegraph.llm.common import remove, scratch, small_batches
 from tidegraph.llm.exact_dedup import drop_copies
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,6 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters or unlike every labelled language."""
+    small_batches(spark)
     sample = language_id.training_sample(docs, F.lit(True), "doc_id", "text", "lang")
     return language_id.keep_accepted(docs.select(*COLUMNS), language_id.fit(sample))
 
@@ -29,6 +30,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts alike in their five-word shingles (0.8 or more) keep the smallest doc_id of each group."""
+    small_batches(spark)
     return simhash.near_dedup(docs.select(*COLUMNS))
 
 
@@ -41,6 +43,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences of at most 4096 ids."""
+    small_batches(spark)
     return packing.pack(docs, queries.vocabulary("word_bpe_49k.json"))
 
 

@@ -72,3 +72,46 @@ def test_stages_against_brute_force(spark):
 def test_run_writes_each_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_workers_give_back_what_an_operator_held(spark):
+    """The next operator finds neither the language stage's words nor memory that is only free within the allocator."""
+    import copy
+    import gc
+
+    import psutil
+
+    from tidegraph.llm import common, language_id
+
+    held = lambda: psutil.Process().memory_info().rss
+    common.remembered(("one",), lambda: [bytes(3000) for _ in range(100_000)])
+    pins = common._kept[("one",)][::50]
+    before = held()
+    common.remembered(("two",))
+    assert len(pins) == 2000 and before - held() > 150e6
+
+    words = ["".join(chr(97 + (k * p) % 26) for p in (1, 3, 5, 7, 11, 17)) for k in range(500)]
+    model = language_id.fit([("aa", " ".join(words))] * 5)
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").coalesce(1)
+    assert language_id.keep_accepted(docs, model).count() == 1
+
+    def known(batches):
+        common.remembered(("another operator",))
+        for pdf in batches:
+            yield pdf.assign(doc_id=sum(len(getattr(x, "known", ())) for x in gc.get_objects() if type(x).__name__ == "Identifier"))
+
+    assert docs.mapInPandas(known, docs.schema).collect()[0].doc_id == 0
+    assert copy.copy(model).known == {}
+
+
+def test_stages_hand_small_batches_to_workers(spark):
+    from tidegraph.llm import common
+
+    name, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([(k, "some words " * 50_000, "en", "s", 1) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    before = spark.conf.get(name)
+    try:
+        corpus_pipeline.packed(spark, docs, "")
+        sizes = docs.select("doc_id", "text").mapInPandas(lambda batches: (pdf.iloc[:1].assign(doc_id=int(pdf["text"].str.len().sum())) for pdf in batches), "doc_id long, text string")
+        assert max(r.doc_id for r in sizes.select("doc_id").collect()) <= 2 * common.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -10,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 #: Stands for a null identifier where columns pass through Python, so that pandas keeps
 #: them as 64-bit integers.
 NULL_ID = -(2**63)
+#: Rows handed to a Python worker at once where an operator asks for little, in bytes.
+BATCH_BYTES = 8 * 2**20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +64,14 @@ def remove(folder: str) -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most BATCH_BYTES of rows at once: several operators' workers share an executor's memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -87,6 +100,15 @@ def sample_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
 _kept: dict[tuple, object] = {}
 
 
+def trim() -> None:
+    """Give memory that is free back to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
+
+
 def remembered(key: tuple, make: Callable[[], object] = lambda: None) -> object:
     """What ``make`` gives, kept by a worker until another key is asked for.
 
@@ -94,7 +116,10 @@ def remembered(key: tuple, make: Callable[[], object] = lambda: None) -> object:
     so that their memories do not add up.
     """
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            gc.collect()
+            trim()
         _kept[key] = make()
     return _kept[key]
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import NULL_ID, cut, remembered
+from tidegraph.llm.common import NULL_ID, cut, remembered, trim
 
 ORDER = 5
 UNKNOWN = "und"
@@ -319,7 +319,9 @@ def keep_accepted(docs: DataFrame, identifier: Identifier, text_col: str = "text
     @F.pandas_udf("boolean")  # only texts go to the worker, and a flag comes back
     def accepted(texts: pd.Series) -> pd.Series:
         own = remembered(key, lambda: copy.copy(shared.value))
-        return own.identify([t if isinstance(t, str) else None for t in texts])["accepted"].astype(bool)
+        flags = own.identify([t if isinstance(t, str) else None for t in texts])["accepted"].astype(bool)
+        trim()
+        return flags
 
     return docs.where(accepted(F.col(text_col).cast("string")))
 
