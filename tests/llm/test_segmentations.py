@@ -1,4 +1,6 @@
 import math
+import random
+import sys
 import zlib
 from collections import Counter
 
@@ -116,3 +118,57 @@ def test_query_draws_four(spark):
     for i, t in docs.items():
         ranks, sums = zip(*sorted(found[i]))
         assert ranks == tuple(range(4 if len(t) >= 20 else len(ranks))) and len(set(sums)) == len(sums)
+
+
+def test_calls_per_text(lat):
+    """Texts are searched together: the calls made for one more text stay few, since their cost was most of the time of usual texts."""
+    texts = [f"some words of text number {i} here, and a few more of them." for i in range(400)]
+    sg.sample(lat, texts, np.arange(400), 4)  # knows the words then
+    calls = 0
+
+    def count(_, event, __):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        found = sg.sample(lat, texts, np.arange(400), 4)
+    finally:
+        sys.setprofile(None)
+    assert all(len(f) == 4 for f in found) and calls / len(texts) < 100  # 221 when each text was searched alone
+
+
+def test_parts(lat):
+    """Units cut all at once are those of the pattern, and no part's end is crossed by a piece that fits there."""
+    draw = random.Random(9)
+    texts = ["".join(draw.choices("ab é²日_.,'\n  ▁0-", k=draw.randint(0, 30))) for _ in range(500)] + ["", " ", "▁", "\n\n"]
+    parts, bounds = lat.split(texts)
+    parts = [p.decode("utf-32-le") for p in parts.to_pylist()]
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        whole = "".join(parts[a:b])
+        assert whole == "".join(lat.units(t))
+        ends = set(np.cumsum([len(p) for p in parts[a:b]]).tolist())
+        units = [0, *np.cumsum([len(u) for u in lat.units(t)]).tolist()]
+        assert ends | {0} >= set(units)
+        for x, y in zip(units[:-1], units[1:]):
+            for e in ends & set(range(x + 1, y)):
+                assert not any(whole[i:j] in lat.pieces for i in range(x, e) for j in range(e + 1, y + 1))
+
+
+def test_many_texts_like_one(lat):
+    """What a text's search looks at later (few likely ways on, many paths) does not depend on the texts searched with it."""
+    texts = ["the " * 2000, "", "of", "a b" * 40, "the cat. " * 300, "日é"]
+    among = sg.sample(lat, texts, np.arange(6), 12)
+    for i, t in enumerate(texts):
+        (alone,) = sg.sample(lat, [t], np.array([i]), 12)
+        assert [p.tolist() for p, *_ in alone] == [p.tolist() for p, *_ in among[i]]
+        assert np.allclose([x for _, *x in alone], [x for _, *x in among[i]], rtol=1e-9, atol=1e-9)
+        assert lat.round_trips([p for p, *_ in alone], t) == [True] * len(alone) and len({p.tobytes() for p, *_ in alone}) == len(alone)
+
+
+def test_marks_joined_to_signs(lat):
+    """No segmentation is lost where a piece joins a mark to a character that is no letter, though a word's."""
+    assert "²." in lat.pieces
+    want = brute(lat, "².")
+    (found,) = sg.sample(lat, ["²."], np.array([3]), 50)
+    assert {lat.ids_of(p) for p, *_ in found} == {b"".join(lat.ids[k] for k in a) for a in want} and all(abs(want[tuple(p.tolist())] - lp) < 1e-9 for p, lp, _ in found)
