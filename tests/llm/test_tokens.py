@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from tidegraph.llm import packing, token_files
+from tidegraph.llm import packing, token_cache, token_files
 from tidegraph.llm.common import scratch
 from tidegraph.llm.token_cache import Encoder, encoder
 
@@ -20,6 +21,48 @@ def test_cache_gives_the_library_s_ids(path, edge_rows):
         assert np.frombuffer(e(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("chars", [50, 2_000_000])
+def test_bulk_gives_the_library_s_ids(path, chars, edge_rows, monkeypatch):
+    monkeypatch.setattr(token_cache, "BULK_CHARS", chars)
+    draw = random.Random(4)
+    parts = ["a", "the", *"  '' '\n", "  ", "\t", "\x1c", "\x85", "\xa0", *"stmd", "re", "ve", "ll", "l", "r", ".", "é", "ñ", "ß", "²", "ɏ", "ɐ", "日本", "1", "23", "$", "_", "A", "\r", "<|endoftext|>"]
+    plain = [x for x in parts if max(x) < "ɐ" and x not in ("\x85", "\xa0", "<|endoftext|>")]
+    texts = ODD + [r[1] or "" for r in edge_rows] + ["".join(draw.choices(p, k=draw.randint(0, 10))) for p in (parts, plain) for _ in range(4000)]
+    e = Encoder(path)
+    for t, ids in zip(texts, e.many(iter(texts)), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t[:50]
+    assert list(e.many([])) == [] and list(e.many(["", ""])) == [b"", b""]
+
+
+def test_bulk_forgets_as_much_as_it_may(monkeypatch):
+    monkeypatch.setattr(token_cache, "CACHE_UNITS", 20)
+    monkeypatch.setattr(token_cache, "BULK_CHARS", 100)
+    draw, e = random.Random(6), Encoder(BYTE)
+    texts = [" ".join(draw.choices("abcdefgh", k=3)) + f" {k} {k % 7}" for k in range(200)]
+    assert list(e.many(texts)) == [e.whole(t) for t in texts]
+    assert len(e.word) <= 20 and len(e.word.old) <= 20
+
+
+def test_bulk_looks_a_word_up_once():
+    """Once an occurrence, op7_token_files took 408 CPU seconds a GB of 400."""
+    e, looked = Encoder(BYTE), []
+
+    class Counted(token_cache._Kept):
+        def get(self, key):
+            looked.append(key)
+            return super().get(key)
+
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    e.word, e.first, e.rest = (Counted(kept.compute) for kept in (e.word, e.first, e.rest))
+    text = "the same words, don't they\nstand in é all of these texts. " * 50 + "x"
+    assert list(e.many([text] * 100)) == [e.whole(text)] * 100
+    assert len(looked) == len(set(looked)) > 10
+
+
 def ids_of(path, text):
     encode = encoder(path)
     return np.array([*np.frombuffer(encode(text or ""), "<u4").tolist(), 2], "<u4")

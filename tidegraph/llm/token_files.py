@@ -128,11 +128,11 @@ def write_tokens(
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, out = encoder(vocabulary), TaskContext.get().partitionId(), None
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["body"]):
+            for doc_id, ids in zip(pdf["doc_id"], encode.many(pdf["body"])):
                 if out is None:
                     name = files.attempt_name(part, ".tgi")
                     out = TokenWriter(f"{folder}/{name}", dictionary, width)
-                out.add(doc_id, encode(text) + end)
+                out.add(doc_id, ids + end)
         if out is not None:
             out.close()
             yield pd.DataFrame({"part": [part], "file": [name], "documents": [len(out.ids)], "tokens": [int(np.sum(out.counts, dtype="int64"))]})
