@@ -35,6 +35,17 @@ def test_bulk_gives_the_library_s_ids(path, chars, edge_rows, monkeypatch):
     assert list(e.many([])) == [] and list(e.many(["", ""])) == [b"", b""]
 
 
+def test_bulk_goes_around_other_characters(monkeypatch):
+    e, text = Encoder(BYTE), "plain words é stand here, and " * 20 + "“two marks” — here \xa0 x"
+    pieces = e._pieces(text)
+    assert "".join(p for p, _ in pieces) == text and sum(len(p) for p, plain in pieces if not plain) < 25
+    monkeypatch.setattr(token_cache, "MANY_UNPLAIN", 0)
+    draw, parts = random.Random(7), ["a", "the", *"     '\n\t", "  ", "\x1c", "\x85", "\xa0", "\u3000", "é", "1", ".", "ɐ", "—", "日本"]
+    texts = [text, *("".join(draw.choices(parts, k=draw.randint(0, 14))) for _ in range(4000))]
+    for t, ids in zip(texts, e.many(texts), strict=True):
+        assert ids == e.whole(t), t[:50]
+
+
 def test_bulk_forgets_as_much_as_it_may(monkeypatch):
     monkeypatch.setattr(token_cache, "CACHE_UNITS", 20)
     monkeypatch.setattr(token_cache, "BULK_CHARS", 100)

@@ -37,6 +37,10 @@ MARKS = ".,!?;:"
 PLAIN_BELOW = "ɐ"
 _SPACE = re.compile(r" (?=\S)")
 _ODD = re.compile(r" \s| $")
+#: Characters that are not cut in bulk, white space of two bytes among them, and how many characters
+#: there have to be for each of them if a text shall be taken apart around them.
+_UNPLAIN = re.compile(f"[\x85\xa0{PLAIN_BELOW}-\U0010ffff]")
+MANY_UNPLAIN = 32
 
 
 class _Kept(dict):
@@ -178,19 +182,28 @@ class Encoder:
         head, *rest = _SPACE.split(text) if _ODD.search(text) else text.split(" ")
         return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
 
-    def _plain(self, text: str) -> bool:
-        """Whether ``_bulk`` may cut the text."""
-        if len(text) > BULK_CHARS or any(a in text for a in self.added):
-            return False
-        if text.isascii():
-            return True
-        if "\x85" in text or "\xa0" in text:  # white space of two bytes
-            return False
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return max(text) < PLAIN_BELOW
-        return True
+    def _pieces(self, text: str) -> list[tuple[str, bool]]:
+        """The text in pieces that are encoded by themselves, and whether ``_bulk`` may cut them."""
+        if not self.in_bulk or len(text) > BULK_CHARS or any(a in text for a in self.added):
+            return [(text, False)]
+        if text.isascii() or not (odd := [m.start() for m in _UNPLAIN.finditer(text)]):
+            return [(text, True)]
+        if len(odd) * MANY_UNPLAIN > len(text):
+            return [(text, False)]
+        found, done = [], 0  # a space before a visible character starts a word whatever stands before it
+        for at in odd:
+            if at < done:
+                continue
+            a = at
+            while (a := text.rfind(" ", done, a)) >= 0 and text[a + 1].isspace():
+                pass
+            b = at
+            while (b := text.find(" ", b + 1)) >= 0 and text[b + 1 : b + 2].strip() == "":
+                pass
+            a, b = max(a, done), b if b >= 0 else len(text)
+            found += [(text[done:a], True), (text[a:b], False)]
+            done = b
+        return [(piece, plain) for piece, plain in [*found, (text[done:], True)] if piece]
 
     def _bulk(self, texts: list[str]) -> list[bytes]:
         """Ids of plain texts."""
@@ -211,10 +224,10 @@ class Encoder:
         return [bytes(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def _many(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [self.in_bulk and self._plain(t) for t in texts]
-        found = iter(self._bulk([t for t, x in zip(texts, plain) if x]))
-        for text, x in zip(texts, plain):
-            yield next(found) if x else self(text)
+        cut = [self._pieces(t) for t in texts]
+        found = iter(self._bulk([piece for pieces in cut for piece, plain in pieces if plain]))
+        for pieces in cut:
+            yield b"".join([next(found) if plain else self(piece) for piece, plain in pieces])
 
     def many(self, texts: Iterable[str]) -> Iterator[bytes]:
         """``self(text)`` of each text."""
