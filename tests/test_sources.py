@@ -1,16 +1,22 @@
 import json
+import os
+import subprocess
+import sys
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 from urllib.error import HTTPError
 from urllib.request import Request, urlopen
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tidegraph.functions import FUNCTIONS
 from tidegraph.graph import Graph
 from tidegraph.plans.compile import compile_query
-from tidegraph.sources import EventStream, HttpSource, PushSource, TablePoller, file_sink, jdbc_sink, jdbc_table, memory_sink, post_sink, procedure_sink, routed, snapshot_changes
+from tidegraph.sources import EventStream, HttpSource, PushSource, TablePoller, embedded, file_sink, jdbc_sink, jdbc_table, memory_sink, post_sink, procedure_sink, routed, snapshot_changes
 from tidegraph.sources.sinks import log_sink
 from tidegraph.streaming import ContinuousQuery
 from tidegraph.types import LONG, Typed, lit
@@ -119,6 +125,55 @@ def test_databases(spark, diff, derby):
     assert sorted((r.batch, r.op) for r in jdbc_table(spark, url, "told")().collect()) == [(4, "add"), (4, "delete"), (4, "update")]
 
 
+def test_databases_inside_the_driver(spark, tmp_path, derby, monkeypatch):
+    url, run = derby
+    run('CREATE TABLE told (AFTER CLOB, "op" VARCHAR(9) NOT NULL, BATCH INT)')  # another case and order than the rows have
+    rows = [(k, f"o{k}", None if k % 3 else f"é'\n日 {k}") for k in range(2500)]
+    frame = spark.createDataFrame(rows, "batch int, op string, after string").repartition(7)
+    embedded.append(frame, url, "told", {})
+    monkeypatch.setattr(embedded, "SLICE", 600)
+    back = embedded.read(spark, url, "told", str(tmp_path / "place"), {})
+    assert back.columns == ["AFTER", "op", "BATCH"] and sorted((r.BATCH, r.op, r.AFTER) for r in back.collect()) == rows
+    with pytest.raises(Exception, match="truncation error"):  # the last of the rows does not fit: none is kept
+        embedded.append(spark.createDataFrame([*rows, (1, "far too long a name", None)], frame.schema).coalesce(1), url, "told", {})
+    assert embedded.read(spark, url, "told", str(tmp_path / "place"), {}).count() == jdbc_table(spark, url, "told")().count() == 2500
+    run("CREATE TABLE bare (k BIGINT, t TIMESTAMP, d DECIMAL(9, 2))")
+    bare = embedded.read(spark, url, "bare", str(tmp_path / "place"), {})
+    assert bare.collect() == [] and bare.dtypes == jdbc_table(spark, url, "bare")().dtypes == [("K", "bigint"), ("T", "timestamp"), ("D", "decimal(9,2)")]
+    embedded.shut(spark, url)
+    embedded.shut(spark, f"jdbc:derby:{tmp_path}/never")
+    monkeypatch.setattr("tidegraph.sources.push.beyond_executors", lambda *_: True)
+    with pytest.raises(ValueError, match="name a place"):
+        jdbc_table(spark, url, "told")
+
+
+_ON_A_CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = (
+    SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.cores.max", "2").config("spark.executor.memory", "1g").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+    .config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", f"file://{sys.argv[1]}/shared").getOrCreate()
+)
+print("told", sorted(map(tuple, __spark_entry__.queries()["differences_in_a_database"](spark, "/root/testdata/sf0.01").collect())))
+spark.stop()
+"""
+
+
+def test_differences_in_a_database_on_a_cluster(spark, tmp_path):
+    """Executors in processes of their own cannot open the driver's database."""
+    home = tmp_path / "home"  # executors write their logs to work in Spark's home
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))}
+    env |= {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "PYTHONPATH": str(Path(__file__).parents[1]), "PYSPARK_PYTHON": sys.executable}
+    made = subprocess.run([sys.executable, "-c", _ON_A_CLUSTER, str(tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    here = __spark_entry__.queries()["row_differences"](spark, "/root/testdata/sf0.01").groupBy("op").count().collect()
+    assert f"told {sorted(map(tuple, here))}" in made.stdout, made.stderr[-3000:]
+
+
 def test_posts_are_tried_again(diff):
     seen, fails = [], [2]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from tidegraph.operators import Decoder, Pipeline, Unwind
 from tidegraph.operators.middleware import Map, Mapping
 from tidegraph.plans.compile import compile_query
 from tidegraph.sources import PushSource, file_sink, jdbc_sink, jdbc_table, json_folder, memory_sink, mock_changes, script_file, snapshot_changes, table_snapshot
+from tidegraph.sources.embedded import shut
 from tidegraph.sources.readers import as_changes
 from tidegraph.sources.sinks import rendered
 from tidegraph.streaming import ContinuousQuery, current_elements, element_tables, element_versions
@@ -227,8 +229,12 @@ def differences_as_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("differences_in_a_database", f"SELECT op, count(*) AS n FROM ({_ROW_SQL}) GROUP BY 1")
 def differences_in_a_database(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Through JDBC and back, with the embedded database that Spark brings."""
-    url = f"jdbc:derby:memory:tide{uuid.uuid4().hex};create=true"
-    jdbc_sink(url, "told")(_row_diff(spark, sf_dir).coalesce(1), 1)
-    rows = jdbc_table(spark, url, "told")().groupBy("op").count().collect()  # the database lives in this process
+    """Through JDBC and back, with the embedded database that Spark brings, in the driver's process and on its disk."""
+    with tempfile.TemporaryDirectory(prefix="tidegraph-") as own:
+        url = f"jdbc:derby:{os.path.realpath(own)}/db;create=true"
+        try:
+            jdbc_sink(url, "told")(_row_diff(spark, sf_dir), 1)
+            rows = jdbc_table(spark, url, "told", folder(spark, "told"))().groupBy("op").count().collect()
+        finally:
+            shut(spark, url)
     return spark.createDataFrame([(r.op, r["count"]) for r in rows], "op string, n bigint")

@@ -17,6 +17,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.sources.embedded import beyond_executors, read
 from tidegraph.sources.readers import as_changes, json_folder
 from tidegraph.streaming.changelog import CHANGES
 
@@ -177,6 +178,14 @@ class TablePoller:
         return json_folder(self.spark, f"{self.folder}/changes", recursive=True)
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, **properties: str) -> Callable[[], DataFrame]:
-    """Reads a table of PostgreSQL, MySQL, SQL Server, Oracle, SQLite or any other database whose JDBC driver Spark is given."""
-    return lambda: spark.read.jdbc(url, table, properties=properties)
+def jdbc_table(spark: SparkSession, url: str, table: str, place: str | None = None, **properties: str) -> Callable[[], DataFrame]:
+    """Reads a table of PostgreSQL, MySQL, SQL Server, Oracle, SQLite or any other database whose JDBC driver Spark is given.
+
+    A database that lives in the driver's process is copied, on a cluster, to ``place``: a
+    folder that all executors see.
+    """
+    if not beyond_executors(spark, url):
+        return lambda: spark.read.jdbc(url, table, properties=properties)
+    if place is None:
+        raise ValueError(f"{url}: executors cannot open a database inside the driver; name a place that they share with it")
+    return lambda: read(spark, url, table, place, properties)

@@ -11,6 +11,8 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.sources.embedded import append, embedded
+
 Sink = Callable[[DataFrame, int], None]
 _PLACE = r"\{\{\s*([\w.]+)\s*\}\}"
 
@@ -56,11 +58,14 @@ def memory_sink(into: list) -> Sink:
 
 
 def jdbc_sink(url: str, table: str, **properties: str) -> Sink:
-    """Differences as JSON rows in a database table."""
+    """Differences as JSON rows in a database table, written by the executors; by the driver if the database lives in its process."""
 
     def write(diff: DataFrame, number: int) -> None:
         rows = diff.select(F.lit(number).alias("batch"), "op", F.to_json("before").alias("before"), F.to_json("after").alias("after"))
-        rows.write.mode("append").jdbc(url, table, properties=properties)
+        if embedded(url):
+            append(rows, url, table, properties)
+        else:
+            rows.write.mode("append").jdbc(url, table, properties=properties)
 
     return write
 
